@@ -64,6 +64,12 @@ LABELLED = (
     (25, 0.0, 40, 0.0, 5, 1.0, 0, 0, 0, 1), (18, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1), (8, 0.0, 6, 0.0, 90, 0.0, 0, 0, 1, 1), (5, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 1),
     (4, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1, 1), (6, 0.0, 40, 0.0, 3, 1.0, 0, 0, 1, 0), (2, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1, 0), (40, 0.8, 5, 1.0, 20, 0.7, 0, 0, 0, 0),
     (15, 0.6, 4, 0.0, 3, 0.0, 0, 0, 0, 0), (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (300, 0.0, 12, 0.0, 10, 0.0, 0, 1, 0, 1),
+    (7, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (9, 0.0, 9, 0.0, 9, 0.0, 0, 0, 0, 1), (8, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 1), (2, 0.0, 2, 0.0, 2, 0.0, 1, 0, 0, 0), (2, 0.0, 2, 0.0, 2, 0.0, 1, 1, 0, 0),
+    # blocks inside the article, of any length beside any neighbour: text is kept, a link alone among links isn't
+    *((w, d, b, 0.0, a, 0.0, 0, 1, h, 1) for w in (1, 4, 15, 60, 250) for d in (0.0, 0.3) for b in (0, 3, 30, 90) for a in (0, 3, 30, 90) for h in (0, 1) if not (h and w > 15)),
+    *((w, 1.0, b, 1.0, a, 1.0, 0, 1, 0, 0) for w in (1, 3, 7) for b in (1, 4) for a in (1, 4)),
+    # blocks of what is named as something else, likewise
+    *((w, d, b, 0.0, a, 0.0, 1, m, h, 0) for w in (1, 4, 15, 60, 250) for d in (0.0, 0.3) for b in (0, 30) for a in (0, 30) for m in (0, 1) for h in (0, 1)),
 )
 
 

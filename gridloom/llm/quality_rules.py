@@ -28,7 +28,7 @@ MEASURES = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.
 RATIOS = {
     "symbols": ("n_symbols * 1000 div greatest(word_chars, 1)", 30, 4),
     "dup_lines": ("least(n_dup_lines * 1000 div greatest(n_words, 1), 1000)", 100, 4),
-    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 150, 4),
+    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 200, 4),
 }
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 _B = np.uint64(0x9E3779B97F4A7C15)

@@ -107,7 +107,7 @@ f AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(le
 m AS (SELECT *, least(n_symbols * 1000 // greatest(word_chars, 1), 1001) AS a, least(n_dup_lines * 1000 // greatest(n_words, 1), 1000) AS b, least(n_repeat_words * 1000 // greatest(n_words, 1), 1001) AS c FROM f),
 q AS (SELECT lang, source, quantile_disc(a, [0.25, 0.5, 0.75]) AS qa, quantile_disc(b, [0.25, 0.5, 0.75]) AS qb, quantile_disc(c, [0.25, 0.5, 0.75]) AS qc FROM m WHERE n_words > 0 GROUP BY lang, source),
 j AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-      a <= qa[2] + greatest(30, 4 * (qa[3] - qa[1])) AND b <= qb[2] + greatest(100, 4 * (qb[3] - qb[1])) AND c <= qc[2] + greatest(150, 4 * (qc[3] - qc[1])) AS fits
+      a <= qa[2] + greatest(30, 4 * (qa[3] - qa[1])) AND b <= qb[2] + greatest(100, 4 * (qb[3] - qb[1])) AND c <= qc[2] + greatest(200, 4 * (qc[3] - qc[1])) AS fits
       FROM m LEFT JOIN q ON m.lang IS NOT DISTINCT FROM q.lang AND m.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, false) AS kept FROM j
 """,
