@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-CACHE = 200_000
+CACHE = 250_000
 
 
 def _fields(data: bytes):
@@ -97,6 +98,9 @@ class Model:
         known = {c for p in self.ids for c in p}
         self.splits = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.hard = [c for c in "\n\t\r\x0b\x0c" if c not in known]
+        # every end of a piece: its id if it is a piece that a path may use, else -1
+        self.ends = {p[k:]: -1 for p in self.ids for k in range(len(p))}
+        self.ends |= {p: i for p, i in self.ids.items() if self.kind == UNIGRAM or self.merged(p) == [p]}
         self.pairs: dict = {}
 
     def normalized(self, text: str) -> str:
@@ -120,19 +124,16 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def may_follow(self, a: str, b: str) -> bool:
-        """Whether the merges make [a, b] of their union; with a empty, whether they make b of its characters."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether the merges make the pieces [a, b] of their union."""
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        left, right = self.pieces[a], self.pieces[b]
+        found = self.pairs[a << 32 | b] = self.merged(left + right) == [left, right]
         return found
 
-    def ids_of(self, surface: str) -> list:
-        i = self.ids.get(surface)
-        if i is not None:
-            return [i]
+    def without_piece(self, surface: str) -> list:
+        """Ids of a character that is no piece."""
         return [self.bytes[b] for b in surface.encode()] if len(self.bytes) == 256 else [self.unknown]
 
 
@@ -142,68 +143,77 @@ def _squash(ids: list, unknown: int) -> list:
 
 
 class Stream:
-    """Viterbi over a text that arrives in parts. Holds the window and the paths that haven't met yet."""
+    """Viterbi over a text that arrives in parts; gives ids. Holds the window and the paths that haven't met yet.
+
+    For each boundary: where the best path's last piece starts, its id (-1: a character without a piece), and, for a
+    unigram model, the path's score."""
 
     def __init__(self, model: Model, step: int = 256):
         self.m, self.step = model, step
-        self.text = ""  # from the last committed boundary on
-        self.best = [0.0]  # score of the best path to each boundary (unigram)
-        self.last = [""]  # surface of its last piece
-        self.done = 0  # boundaries that have been searched
-        self.before = ""  # the last committed piece
-
-    def feed(self, part: str):
-        self.text += part
-        return self._advance()
-
-    def finish(self):
-        out = self._advance()
-        end = len(self.text)
-        tail = self._trace(end)
-        self.text, self.best, self.last, self.done, self.before = "", [0.0], [""], 0, ""
-        return out + tail
-
-    def _trace(self, end: int, start: int = 0) -> list:
-        out = []
-        while end > start:
-            out.append(self.last[end])
-            end -= len(self.last[end])
-        return out[::-1]
-
-    def _advance(self) -> list:
+        self.text, self.back, self.code, self.best, self.done = "", [0], [-1], [0.0], 0
+
+    def feed(self, part: str) -> list:
+        self.text = self.text + part if self.text else part
         out: list = []
+        search = self._search_bpe if self.m.kind == BPE else self._search_unigram
         while self.done < len(self.text):
             upto = min(len(self.text), self.step + self.m.longest)
-            (self._search_bpe if self.m.kind == BPE else self._search_unigram)(upto)
+            search(upto)
             self.done = upto
             if upto >= self.step + self.m.longest:
                 out += self._commit()
         return out
 
+    def finish(self) -> list:
+        out = self._trace(len(self.text))
+        self.text, self.back, self.code, self.best, self.done = "", [0], [-1], [0.0], 0
+        return out
+
+    def _trace(self, end: int) -> list:
+        back, code, out = self.back, self.code, []
+        while end:
+            i, start = code[end], back[end]
+            if i >= 0:
+                out.append(i)
+            else:
+                out.extend(reversed(self.m.without_piece(self.text[start:end])))
+            end = start
+        out.reverse()
+        return out
+
     def _search_bpe(self, upto: int):
-        text, last, ids, pairs, longest, before = self.text, self.last, self.m.ids, self.m.pairs, self.m.longest, self.before
+        text, back, code, ends, pairs = self.text, self.back, self.code, self.m.ends.get, self.m.pairs.get
         for e in range(self.done + 1, upto + 1):
-            for s in range(max(0, e - longest), e):
-                piece = text[s:e]
-                if piece in ids or s == e - 1:
-                    pair = (last[s] if s else before, piece)
-                    fits = pairs.get(pair)
-                    if fits if fits is not None else self.m.may_follow(*pair):
-                        last.append(piece)
+            s, start, pick = e - 1, e - 1, -1
+            while s >= 0:
+                i = ends(text[s:e])
+                if i is None:
+                    break
+                if i >= 0:
+                    a = code[s]
+                    # after a character without a piece, and at the start, every piece may stand
+                    fits = True if a < 0 else pairs(a << 32 | i)
+                    if fits if fits is not None else self.m.may_follow(a, i):
+                        start, pick = s, i
                         break
+                s -= 1
+            back.append(start)
+            code.append(pick)
 
     def _search_unigram(self, upto: int):
         m, text, best = self.m, self.text, self.best
         for e in range(self.done + 1, upto + 1):
-            top, pick = None, ""
-            for s in range(max(0, e - m.longest), e):
-                piece = text[s:e]
-                i = m.ids.get(piece)
-                score = m.scores[i] if i is not None else m.unknown_score if s == e - 1 else None
-                if score is not None and (top is None or best[s] + score > top):
-                    top, pick = best[s] + score, piece
+            s, start, pick, top = e - 1, e - 1, -1, best[e - 1] + m.unknown_score
+            while s >= 0:
+                i = m.ends.get(text[s:e])
+                if i is None:
+                    break
+                if i >= 0 and ((score := best[s] + m.scores[i]) >= top or pick < 0):
+                    start, pick, top = s, i, score
+                s -= 1
             best.append(top)
-            self.last.append(pick)
+            self.back.append(start)
+            self.code.append(pick)
 
     def _commit(self) -> list:
         """Trace all boundaries that a later piece may start from until they agree on one."""
@@ -211,14 +221,14 @@ class Stream:
         while len(alive) > 1:
             far = max(alive)
             alive.remove(far)
-            alive.add(far - len(self.last[far]))
+            alive.add(self.back[far])
         meet = alive.pop()
         if not meet:
             return []
         out = self._trace(meet)
-        self.before = out[-1]
         self.text = self.text[meet:]
-        self.last = ["", *self.last[meet + 1 :]]
+        self.back = [0, *(b - meet for b in self.back[meet + 1 :])]
+        self.code = self.code[meet:]
         if self.m.kind == UNIGRAM:
             self.best = [b - self.best[meet] for b in self.best[meet:]]
         self.done -= meet
@@ -229,17 +239,16 @@ class Encoder:
     """Whole texts to packed ids. Parts that pieces can't cross are searched on their own and kept in a cache."""
 
     def __init__(self, model: Model, cache: int = CACHE):
-        self.m, self.size, self.cache = model, cache, {}
+        self.m, self.size, self.cache, self.older = model, cache, {}, {}  # two generations, so that frequent parts stay
         self.stream = Stream(model)
         hard = "".join(model.hard)
         self.part = re.compile(f"{MARK}*[^{MARK}{re.escape(hard)}]+|{MARK}+" + (f"|[{re.escape(hard)}]" if hard else "")) if model.splits else None
 
     def _part(self, part: str) -> bytes:
-        found = self.stream.feed(part) + self.stream.finish()
-        ids = np.array([i for x in found for i in self.m.ids_of(x)], np.int32).tobytes()
-        if len(part) <= 64:
-            if len(self.cache) >= self.size:
-                self.cache.clear()
+        ids = self.older.get(part)
+        if ids is None:
+            ids = array("i", self.stream.feed(part) + self.stream.finish()).tobytes()
+        if len(part) <= 64 and len(self.cache) < self.size:
             self.cache[part] = ids
         return ids
 
@@ -247,8 +256,11 @@ class Encoder:
         text = self.m.normalized(text)
         if self.part is None:
             return self._part(text) if text else b""
+        parts = self.part.findall(text)
+        if len(self.cache) + len(parts) > self.size:
+            self.older, self.cache = self.cache, {}
         get = self.cache.get
-        out = b"".join([get(p) or self._part(p) for p in self.part.findall(text)])
+        out = b"".join([get(p) or self._part(p) for p in parts])
         if not self.m.bytes:
             out = np.array(_squash(np.frombuffer(out, np.int32).tolist(), self.m.unknown), np.int32).tobytes()
         return out
@@ -256,17 +268,17 @@ class Encoder:
 
 class Decoder:
     def __init__(self, model: Model):
-        self.m = model
+        self.prefix = model.prefix
         self.table = [bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(model.pieces, model.kinds)]
 
     def decode(self, ids: list) -> bytes:
         data = b"".join(map(self.table.__getitem__, ids))
-        return data[1:] if self.m.prefix and data.startswith(b" ") else data
+        return data[1:] if self.prefix and data.startswith(b" ") else data
 
 
-def _encode(data: bytes, column: str):
+def _encode(model: Model, column: str):
     def run(batches):
-        encoder = Encoder(Model(data))
+        encoder = Encoder(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -279,30 +291,30 @@ def _encode(data: bytes, column: str):
     return run
 
 
-def _decode(data: bytes, column: str, result: str):
+def _decode(table: Decoder, column: str, result: str):
     def run(batches):
-        decoder = Decoder(Model(data))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 col = part.column(part.schema.names.index(column))
                 flat, offsets = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
                 valid = col.is_valid().to_pylist()
-                texts = [decoder.decode(flat[offsets[i] : offsets[i + 1]].tolist()).decode(errors="replace") if valid[i] else None for i in range(len(valid))]
+                texts = [table.decode(flat[offsets[i] : offsets[i + 1]].tolist()).decode(errors="replace") if valid[i] else None for i in range(len(valid))]
                 yield with_columns(part, (), **{result: pa.array(texts, pa.string())})
 
     return run
 
 
+def load(model_file: str) -> Model:
+    with open(model_file, "rb") as f:
+        return Model(f.read())
+
+
 def encode(docs: DataFrame, model_file: str, column: str = "text") -> DataFrame:
     """docs with ids (array of int). The driver reads the model (its size is fixed) and sends it with the tasks."""
-    with open(model_file, "rb") as f:
-        data = f.read()
-    return docs.mapInArrow(_encode(data, column), schema_with(docs, (), ids=T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(_encode(load(model_file), column), schema_with(docs, (), ids=T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, model_file: str, column: str = "ids", result: str = "decoded") -> DataFrame:
     """encoded with the text that its ids stand for."""
-    with open(model_file, "rb") as f:
-        data = f.read()
-    return encoded.mapInArrow(_decode(data, column, result), schema_with(encoded, (), **{result: T.StringType()}))
+    return encoded.mapInArrow(_decode(Decoder(load(model_file)), column, result), schema_with(encoded, (), **{result: T.StringType()}))
