@@ -160,14 +160,14 @@ def nearest_band(spark, d):
     return joins.nearest(c, s, ["nation"], "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal", 2000.0).select("c_custkey", "s_suppkey", r6(F.col("distance"), "distance"))
 
 
-@query("""SELECT a.o_orderkey, coalesce(m.o_orderkey, f.o_orderkey) AS below FROM orders a
+@query("""SELECT a.o_orderkey, coalesce(m.o_orderkey, f.o_orderkey, -1) AS below FROM orders a
 LEFT JOIN LATERAL (SELECT o_orderkey FROM orders b WHERE b.o_custkey = a.o_custkey AND (b.o_orderdate, b.o_orderkey) > (a.o_orderdate, a.o_orderkey) AND b.o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey LIMIT 1) m ON true
 LEFT JOIN LATERAL (SELECT o_orderkey FROM orders b WHERE b.o_custkey = a.o_custkey AND (b.o_orderdate, b.o_orderkey) > (a.o_orderdate, a.o_orderkey) ORDER BY o_orderdate, o_orderkey LIMIT 1) f ON true""")
 def first_below(spark, d):
     """The first later order of the customer that is finished; if there is none, the next one."""
     o = joins.first_after(t(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], F.col("o_orderstatus") == "F", "match", "o_orderkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return o.withColumn("next", F.lead("o_orderkey").over(w)).select("o_orderkey", F.coalesce("match", "next").alias("below"))
+    return o.withColumn("next", F.lead("o_orderkey").over(w)).select("o_orderkey", F.coalesce("match", "next", F.lit(-1)).alias("below"))
 
 
 SPANS = "sp AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate) // 86400 AS s, epoch(o_orderdate) // 86400 + 30 + CAST(floor(o_totalprice) AS BIGINT) % 300 AS e FROM orders)"
@@ -420,11 +420,11 @@ def ink_box(spark, d):
 
 
 @query(f"""WITH {PX}, r AS (SELECT vec_id, list(round(v, 4) ORDER BY j, 7 - i) AS turned, list(round(CASE WHEN round(v, 4) > 0.2 THEN 1 ELSE v END, 4) ORDER BY i, j) AS masked, list(round(v, 4) ORDER BY i, j) FILTER (i BETWEEN 2 AND 4 AND j BETWEEN 1 AND 5) AS part FROM px GROUP BY vec_id)
-SELECT vec_id, round(list_sum(list_transform(turned, lambda x, k: x * k)), 3) AS turned, round(list_sum(list_transform(masked, lambda x, k: x * k)), 3) AS masked, round(list_sum(list_transform(part, lambda x, k: x * k)), 3) AS part FROM r""")
+SELECT vec_id, round(list_sum(list_transform(turned, lambda x, k: x * k)), 4) AS turned, round(list_sum(list_transform(masked, lambda x, k: x * k)), 4) AS masked, round(list_sum(list_transform(part, lambda x, k: x * k)), 4) AS part FROM r""")
 def raster_ops(spark, d):
     """Rotation, masking and cropping, each told by a weighted sum over its result."""
     px = F.transform("px", lambda x: F.round(x, 4))
-    told = lambda a, n: F.round(F.aggregate(F.transform(a, lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x), 3).alias(n)
+    told = lambda a, n: F.round(F.aggregate(F.transform(a, lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x), 4).alias(n)
     g = glyphs(spark, d).withColumn("px", px)
     return g.select("vec_id", told(raster.rotate_clockwise(F.col("px"), 8, 8), "turned"), told(raster.mask_light(F.col("px"), 0.2), "masked"), told(raster.crop(F.col("px"), 8, 1, 2, 5, 3), "part"))
 

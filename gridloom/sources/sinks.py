@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.raster import write_png
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
@@ -22,11 +26,6 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def png_bytes(df: DataFrame, h: int, w: int, px: str = "px", name: str = "png") -> DataFrame:
     """df with each raster (0..255) encoded as a PNG file's bytes."""
-    import numpy as np
-    import pandas as pd
-
-    from gridloom.operators.raster import write_png
-
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda a: write_png(np.asarray(a).reshape(h, w)))
