@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.functions.keys import basename, parse_key
 
@@ -50,4 +49,4 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
 def classes(spark: SparkSession, path: str) -> DataFrame:
     """(class, id) of a JSON list of names."""
     text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.posexplode(F.from_json(F.regexp_replace("value", r"[\r\n]", " "), T.ArrayType(T.StringType()))).alias("id", "class"))
+    return text.select(F.posexplode(F.regexp_extract_all("value", F.lit(r'"([^"]*)"'), F.lit(1))).alias("id", "class"))
