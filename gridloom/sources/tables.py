@@ -48,5 +48,5 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def classes(spark: SparkSession, path: str) -> DataFrame:
     """(class, id) of a JSON list of names."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.regexp_extract_all("value", F.lit(r'"([^"]*)"'), F.lit(1))).alias("id", "class"))
