@@ -284,7 +284,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int
     stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "__fp").agg(F.count("*").alias("__n")))
     again = stay.where((F.col("__n") > 1) | F.col("doc_id").isNull()).limit(1).count() or stay.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not again:
-        return docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+        # a merge join at every size: the ids that stay grow with the corpus, so they are never broadcast
+        return docs.join(stay.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     one = fingerprints(docs.withColumn("__text", F.col("text")), k, seed).withColumnRenamed("__text", "text")
     pick = stay.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__fp")).alias("__z")).agg(F.min("__fp").alias("__fp")).select(F.col("doc_id").alias("__id"), F.col("__fp").alias("__f"))
     kept = one.join(pick, one["doc_id"].eqNullSafe(pick["__id"]) & (one["__fp"] == pick["__f"]), "left_semi")
