@@ -26,7 +26,7 @@ from gridloom.llm.common import is_held_out, mix, raw_texts, sampled_texts, sche
 ship(__name__)
 
 FOLD = (5, 0)
-TRAIN_DOCS, TRAIN_CHARS = 9_000, 32_000_000
+TRAIN_DOCS, TRAIN_CHARS = 6_000, 16_000_000
 # Insults and second-person words, by language (en, de, fr, es).
 INSULTS = set(
     "idiot idiots moron morons stupid dumb loser losers trash scum pathetic worthless disgusting clown ugly filthy vermin imbecile retard jerk bastard bitch whore slut asshole dickhead cunt fuck fucking shit bullshit "
