@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42
     if edges.limit(1).count():
         comp = components(edges)
         named = materialize(values.join(comp.withColumnRenamed("node", "__fp"), "__fp", "left").select("__fp", F.coalesce("comp", "__fp").alias("comp"), "__least"))
-        least = materialize(named.groupBy("comp").agg(F.min("__least").alias("component_id")))
+        least = named.groupBy("comp").agg(F.min("__least").alias("component_id"))
         values = materialize(named.join(least, "comp").select("__fp", "component_id"))
     else:
         values = values.select("__fp", F.col("__least").alias("component_id"))
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42
 def drop_near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """docs with one document of each component: the one with the least doc_id. Rows that repeat that doc_id are
     the same document, of which one row stays (null ids: likewise one row, where no other id is in the component)."""
-    found = materialize(near_duplicates(docs, k, radius, seed))
+    found = near_duplicates(docs, k, radius, seed)
     stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "__fp").agg(F.count("*").alias("__n")))
     again = stay.where((F.col("__n") > 1) | F.col("doc_id").isNull()).limit(1).count() or stay.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not again:
