@@ -1,0 +1,5 @@
+"""Query catalogs; importing the package registers the queries of every module."""
+
+from gridloom.plans import catalog, images
+
+__all__ = ["catalog", "images"]
