@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import is_held_out, raw_texts, sampled_texts, schema_with, ship, with_columns
+from gridloom.llm.common import is_held_out, mix, raw_texts, sampled_texts, schema_with, ship, with_columns
 
 ship(__name__)
 
@@ -28,35 +28,40 @@ FOLD = (4, 2)
 TRAIN_DOCS, TRAIN_CHARS = 4_000, 14_000_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 12.0
 SAME = BUCKETS  # the repeated-word bigram
-
-
-def word_features(raw: bytes) -> list:
-    w = f"<{raw.decode()}>"
-    grams = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(raw) % BUCKETS, *(zlib.crc32(g.encode(), 1) % BUCKETS for g in grams)]
-
-
-def text_features(data: bytes, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+AT_ONCE = 50_000
+_P = np.uint64(0x100000001B3)
+
+
+def features(words: list) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the word, feature) for all features of a list of words; a word's own come in an order of their own."""
+    own = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % BUCKETS
+    marked = (b"<" + b"> <".join(words) + b">").decode().split(" ")
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), np.fromiter(map(len, marked), np.int64, len(marked)))
+    at, found, h = [np.arange(len(words))], [own], codes
+    for n in range(2, 6):
+        h = h[:-1] * _P + codes[n - 1 :]
+        if n > 2:
+            whole = np.flatnonzero(word[: len(h)] == word[n - 1 :])
+            at.append(word[whole])
+            found.append((mix(h[whole] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
+    return np.concatenate(at), np.concatenate(found)
+
+
+def text_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The features of a whole text and how often each occurs."""
     words = data.split()
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0)
     counts: dict = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    same = sum(a == b for a, b in zip(words, words[1:]))
-    parts, weights = [], []
-    for w, n in counts.items():
-        f = cache.get(w)
-        if f is None:
-            f = cache[w] = np.array(word_features(w), np.int64)
-        parts.append(f)
-        weights.append(np.full(len(f), n))
-    if same:
-        parts.append(np.array([SAME]))
-        weights.append(np.array([same * 4]))
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    ids, at = np.unique(np.concatenate(parts), return_inverse=True)
-    return ids, np.bincount(at, np.concatenate(weights))
+    at, found = features(list(counts))
+    same = sum(map(bytes.__eq__, words, words[1:]))
+    weights = np.append(np.fromiter(counts.values(), np.float64, len(counts))[at], same * 4.0)
+    ids, place = np.unique(np.append(found, SAME), return_inverse=True)
+    times = np.bincount(place, weights)
+    return ids[times > 0], times[times > 0]
 
 
 class Embeddings:
@@ -69,9 +74,7 @@ class Embeddings:
         rng = np.random.default_rng(seed)
         vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
         out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-        cache: dict = {}
-        texts = [(i, (w / w.sum()).astype(np.float32)) if len(i) else (i, w.astype(np.float32)) for i, w in (text_features(t, cache) for t, _ in sample)]
-        del cache
+        texts = [(i, (w / w.sum()).astype(np.float32)) if len(i) else (i, w.astype(np.float32)) for i, w in (text_features(t) for t, _ in sample)]
         rounds, done = EPOCHS * len(texts), 0
         for _ in range(EPOCHS):
             for k in rng.permutation(len(texts)):
@@ -92,28 +95,34 @@ class Embeddings:
 
 
 class Reader:
+    """Scores texts; a word's sum of effects and number of features are kept while no more than ``cache`` are held."""
+
     def __init__(self, model: Embeddings, cache: int = 200_000):
         self.m, self.size, self.cache = model, cache, {}
 
-    def _word(self, raw: bytes) -> tuple:
-        f = word_features(raw)
-        got = (float(self.m.effect[f].sum()), len(f))
-        if len(raw) <= 64:
-            if len(self.cache) >= self.size:
-                self.cache.clear()
-            self.cache[raw] = got
-        return got
+    def _learn(self, words: list) -> None:
+        for lo in range(0, len(words), AT_ONCE):
+            some = words[lo : lo + AT_ONCE]
+            at, found = features(some)
+            self.cache.update(zip(some, zip(np.bincount(at, self.m.effect[found]).tolist(), np.bincount(at).tolist())))
 
     def score(self, data: bytes | None) -> float:
-        m = self.m
+        m, z = self.m, 0.0
         if m.effect is None:
             return m.share
         words = (data or b"").split()
-        get, z = self.cache.get, 0.0
         if words:
-            got = [get(w) or self._word(w) for w in words]
+            if len(self.cache) > self.size:
+                self.cache.clear()
+            new = [w for w in dict.fromkeys(words) if w not in self.cache]
+            if new:
+                self._learn(new)
+            got = list(map(self.cache.__getitem__, words))
             same = 4 * sum(map(bytes.__eq__, words, words[1:]))
             z = (sum(s for s, _ in got) + same * float(m.effect[SAME])) / (sum(n for _, n in got) + same)
+            for w in new:
+                if len(w) > 64:
+                    del self.cache[w]
         return float(1 / (1 + np.exp(-np.clip(z + m.bias, -500, 500))))
 
 

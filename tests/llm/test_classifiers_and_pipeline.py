@@ -147,3 +147,25 @@ def test_one_query_for_each_operator():
 def test_simhash_of_the_stage_is_the_query_s(spark):
     rows = [(i, "One two three four  five six seven\neight nine ten " * 8 if i == 3 else "one two three four five six seven eight nine ten " * 8, "en", "s", 1) for i in range(5)]
     assert len(simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == 1
+
+
+def test_word_features_one_by_one():
+    words = ["a", "né", "𝒳y", "abcdefgh", "<>", "a", "z" * 90]
+    at, found = quality_classifier.features([w.encode() for w in words])
+    grams = [[g for n in (3, 4, 5) for g in (f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n))] for w in words]
+    assert np.bincount(at).tolist() == [1 + len(g) for g in grams]
+    for k, w in enumerate(words):  # a word's features are the same in any company, and equal grams get equal features
+        _, alone = quality_classifier.features([w.encode()])
+        assert found[at == k].tolist() == alone.tolist()
+        assert len(set(alone[1:].tolist())) == len(set(grams[k]))
+    ids, times = quality_classifier.text_features("né né a".encode())
+    assert times.sum() == 2 * 4 + 2 + 4 and times[ids == quality_classifier.SAME].tolist() == [4]
+
+
+def test_reader_forgets_but_scores_alike():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 60)).encode() for _ in range(40)] + [b"", None, b"q" * 300, b"q" * 300]
+    model = quality_classifier.Embeddings([(t, k % 2) for k, t in enumerate(texts[:40])])
+    small, large = quality_classifier.Reader(model, 5), quality_classifier.Reader(model)
+    assert [small.score(t) for t in texts] == [large.score(t) for t in texts]
+    assert max(map(len, large.cache)) <= 64
