@@ -7,7 +7,8 @@ depends on; a symbol whose extent lies inside a window exists in every occurrenc
 Each window is keyed by one such symbol (longest first, then by name, then leftmost), or, if it has none, by a second
 fingerprint of its own words. Windows with equal keys meet in one task, which verifies them by a fingerprint of all
 their words (48 bits beside the key's 64) and finds the earliest. A task's own repeats are settled before the
-shuffle, so a passage in a third of all documents sends one occurrence for each map batch and symbol.
+shuffle, so a passage in a third of all documents sends one occurrence for each map batch and symbol; the task that
+settles these goes through them as a stream and holds only the earliest of each window so far.
 
 Defined results: documents are ordered by doc_id, null last; rows that repeat a doc_id are one document's texts, and
 equal windows at the same doc_id and start are one occurrence, so neither removes the other. A null text has no
@@ -33,6 +34,7 @@ WINDOW = 20
 ROUNDS = 4
 BATCH_WORDS = 1_200_000
 PIECE_WORDS = 60_000
+SETTLE_WINDOWS = 2_000_000
 _B1 = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xD6E8FEB86659FD93)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -239,24 +241,24 @@ def _emit(window: int, buckets: int):
 
 
 def _settle(batches):
-    """All messages of some buckets -> runs (__k, __th, start, n) of windows that start earlier elsewhere."""
+    """All messages of some buckets -> runs (__k, __th, start, n) of windows that start earlier elsewhere.
+
+    Whenever as many windows have come as are held (and SETTLE_WINDOWS at least), repeats go out and the earliest of
+    each window stay. So memory follows the distinct windows of a partition, not the occurrences of a common passage."""
     schema = pa.schema([("__k", pa.int64()), ("__th", pa.int32()), ("__r", pa.int64())])
     got: list = []
+    held = fresh = 0
 
     def out(key, th, start, n):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(th), pa.array((start.astype(np.int64) << 32) | n.astype(np.int64))], schema=schema)
 
-    for batch in batches:
-        for blob in batch.column(1).to_pylist():
-            kind, (key, th, start, n, sym, low, high) = _unpack(blob)
-            if kind:
-                got.append((np.repeat(key, n), np.repeat(th, n), np.repeat(start, n) + _steps(n), np.repeat(sym, n), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))))
-            elif len(key):
-                yield out(key, th, start, n)
-    if got:
+    def settled():
+        nonlocal held, fresh
         key, th, pos, sym, whole = (np.concatenate(x) for x in zip(*got))
         got.clear()
-        late, _ = _later([sym, whole], key, pos)
+        late, rest = _later([sym, whole], key, pos)
+        got.append((key[rest], th[rest], pos[rest], sym[rest], whole[rest]))
+        held, fresh = len(rest), 0
         late = late[np.lexsort((pos[late], th[late], key[late]))]
         cut = _runs(key[late], th[late], pos=pos[late])
         if len(late):
@@ -264,6 +266,19 @@ def _settle(batches):
             for lo in range(0, len(a), 65536):
                 yield out(key[a[lo : lo + 65536]], th[a[lo : lo + 65536]], pos[a[lo : lo + 65536]], np.diff(cut)[lo : lo + 65536])
 
+    for batch in batches:
+        for blob in batch.column(1).to_pylist():
+            kind, (key, th, start, n, sym, low, high) = _unpack(blob)
+            if kind:
+                got.append((np.repeat(key, n), np.repeat(th, n), np.repeat(start, n) + _steps(n), np.repeat(sym, n), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))))
+                fresh += len(low)
+                if fresh >= max(held, SETTLE_WINDOWS):
+                    yield from settled()
+            elif len(key):
+                yield out(key, th, start, n)
+    if got:
+        yield from settled()
+
 
 def _steps(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import types as T
@@ -68,6 +69,33 @@ def test_recompression_any_window(spark, window):
     assert sorted(map(tuple, got)) == sorted(recompression.brute_force(rows, window))
 
 
+def test_settling_in_steps_gives_the_same(spark, rows, monkeypatch):
+    monkeypatch.setattr(recompression, "SETTLE_WINDOWS", 7)
+    monkeypatch.setattr(recompression, "BATCH_WORDS", 150)
+    monkeypatch.setattr(recompression, "PIECE_WORDS", 60)
+    test_recompression_matches_word_windows(spark, rows)
+
+
+def test_settling_holds_one_window_of_each(monkeypatch):
+    most, later = 0, recompression._later
+
+    def watched(identity, key, pos):
+        nonlocal most
+        most = max(most, len(key))
+        return later(identity, key, pos)
+
+    monkeypatch.setattr(recompression, "SETTLE_WINDOWS", 50)
+    words = np.array([0, *range(1, 31), 0], np.uint64)
+    at = np.arange(1, 12)
+    sym, whole = recompression.window_keys(words, at, 20)
+    one = lambda doc: recompression._pack(1, np.full(11, doc), np.full(11, 3), at - 1, np.ones(11, np.int64), sym, whole)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 300, pa.int32()), pa.array([one(d) for d in reversed(range(300))], pa.binary())], names=["__b", "__m"])
+    monkeypatch.setattr(recompression, "_later", watched)
+    out = pa.Table.from_batches(recompression._settle([batch])).to_pydict()
+    assert sorted(out["__k"]) == list(range(1, 300)) and set(out["__r"]) == {11}
+    assert most <= 11 + 50 + 11
+
+
 def test_symbols_inside_a_window_depend_on_it_alone():
     """A symbol whose extent lies in a window is found at the same place wherever the window stands."""
     rng = np.random.default_rng(3)
