@@ -77,3 +77,26 @@ def fluctuation(a: Column) -> Column:
     """mean |difference| / (mean |x| + 1e-9)."""
     d = F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.abs(F.get(a, i) - F.get(a, i - 1)))
     return mean(d) / (mean(F.transform(a, F.abs)) + 1e-9)
+
+
+def intervals(states: Column) -> Column:
+    """Array of struct(s, e): the half-open runs of true in an array of booleans."""
+    on = lambda i: F.coalesce(F.get(states, i), F.lit(False))
+    at = F.sequence(F.lit(0), F.size(states))
+    starts, ends = F.filter(at, lambda i: on(i) & ~on(i - 1)), F.filter(at, lambda i: on(i - 1) & ~on(i))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+
+def valley_depth(profile: Column) -> Column:
+    """Mean depth of a profile's valleys below the lower of the peaks next to them, the profile's range being 1.
+
+    A flat profile has 0, one with fewer than two peaks or no valley its range over its maximum; 1 where no valley lies between peaks."""
+    hi, lo = F.array_max(profile), F.array_min(profile)
+    x = lambda i: (F.get(profile, i) - lo) / (hi - lo + 1e-12)
+    c, inner = lambda i: F.get(profile, i), F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(profile) - 2))
+    peaks = F.filter(inner, lambda i: (c(i) > c(i - 1)) & (c(i) >= c(i + 1)))
+    valleys = F.filter(inner, lambda i: (c(i) < c(i - 1)) & (c(i) <= c(i + 1)))
+    last, first = lambda k: F.array_max(F.filter(peaks, lambda p: p < k)), lambda k: F.array_min(F.filter(peaks, lambda p: p > k))
+    depths = F.filter(F.transform(valleys, lambda k: F.when(last(k).isNotNull() & first(k).isNotNull(), F.least(x(last(k)), x(first(k))) - x(k))), lambda v: v > 0)
+    few = (F.size(peaks) < 2) | (F.size(valleys) == 0)
+    return F.when(hi - lo <= 1e-8, 0.0).when(few, (hi - lo) / (hi + 1e-9)).otherwise(F.coalesce(mean(depths), F.lit(1.0)))

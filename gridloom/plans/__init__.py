@@ -1,5 +1,5 @@
 """Query catalogs; importing the package registers the queries of every module."""
 
-from gridloom.plans import catalog, images
+from gridloom.plans import catalog, images, shapes
 
-__all__ = ["catalog", "images"]
+__all__ = ["catalog", "images", "shapes"]
