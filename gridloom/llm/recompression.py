@@ -34,7 +34,7 @@ WINDOW = 20
 ROUNDS = 4
 BATCH_WORDS = 1_200_000
 PIECE_WORDS = 60_000
-SETTLE_WINDOWS = 2_000_000
+SETTLE_WINDOWS = 3_000_000
 _B1 = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xD6E8FEB86659FD93)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -173,9 +173,20 @@ def _later(identity: list, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray
     return late, np.flatnonzero(rest)
 
 
+def _columns(parts: list) -> list:
+    """Columns of the tuples of arrays in parts, which is emptied; each column's pieces go as it is joined."""
+    pieces = [list(x) for x in zip(*parts)]
+    parts.clear()
+    out = []
+    for x in pieces:
+        out.append(np.concatenate(x))
+        x.clear()
+    return out
+
+
 def _emit(window: int, buckets: int):
     def flush(parts):
-        key, th, pos, sym, whole = (np.concatenate(x) for x in zip(*parts))
+        key, th, pos, sym, whole = _columns(parts)
         late, rest = _later([sym, whole & np.uint64(0xFFFFFFFFFFFF)], key, pos)
         late.sort()
         cut = _runs(key[late], th[late], pos=pos[late])
@@ -213,7 +224,6 @@ def _emit(window: int, buckets: int):
 
         def send():
             rows = list(flush(parts))
-            parts.clear()
             for lo in range(0, len(rows), 512):
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[lo : lo + 512]], pa.int32()), pa.array([m for _, m in rows[lo : lo + 512]], pa.binary())], schema=schema)
 
@@ -254,8 +264,7 @@ def _settle(batches):
 
     def settled():
         nonlocal held, fresh
-        key, th, pos, sym, whole = (np.concatenate(x) for x in zip(*got))
-        got.clear()
+        key, th, pos, sym, whole = _columns(got)
         late, rest = _later([sym, whole], key, pos)
         got.append((key[rest], th[rest], pos[rest], sym[rest], whole[rest]))
         held, fresh = len(rest), 0
@@ -276,7 +285,7 @@ def _settle(batches):
                     yield from settled()
             elif len(key):
                 yield out(key, th, start, n)
-    if got:
+    if fresh:
         yield from settled()
 
 
