@@ -89,7 +89,7 @@ def measure(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, n): merge two by adding n; at most 1001 buckets a group and ratio."""
+    """(lang, source, ratio, bucket, n): merge two by adding n; at most 1002 buckets (0 to 1001) a group and ratio."""
     pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.expr(e).cast("int").alias("bucket")) for r, (e, _, _) in RATIOS.items())))
     capped = F.least(F.col("p.bucket"), F.lit(1001)).alias("bucket")
     return measured.where("n_words > 0").select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.ratio").alias("ratio"), capped).agg(F.count("*").alias("n"))
