@@ -189,3 +189,14 @@ def test_auc_and_scores_without_one_class(spark):
     assert evaluate.auc(df, "y", "s").first()["auc"] is None
     m = evaluate.confusion(spark.createDataFrame([(0, 0)], "t int, p int"), "t", "p", [0, 1])
     assert {tuple(r) for r in evaluate.class_scores(m, "t", "p").collect()} == {(0, 1.0, 1.0, 1.0, 1), (1, 0.0, 0.0, 0.0, 0)}
+
+
+@pytest.mark.parametrize("scores", [[0.3, 0.9, 0.9, 0.1, None, float("nan"), float("inf"), float("-inf"), 0.3000001], [5.0, 5.0], [float("nan")], [None, None], [1e300, -1e300, 0.0]])
+def test_roc_counts_every_score_above(spark, scores):
+    rows = [(k % 2, s) for k, s in enumerate(scores * 3)]
+    place = lambda s: (0, 0.0) if s is None else (2, 0.0) if s != s else (1, s)
+    got = evaluate.roc(spark.createDataFrame(rows, "y int, s double"), "y", "s").collect()
+    assert sorted(place(r["s"]) for r in got) == sorted({place(s) for s in scores})
+    for r in got:
+        above = [y for y, s in rows if place(s) >= place(r["s"])]
+        assert (r["tp"], r["fp"]) == (sum(above), len(above) - sum(above))
