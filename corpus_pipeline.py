@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import materialize, sheltered, table
 from gridloom.llm.mixing import mixed_documents
 from gridloom.llm.pieces import encode
-from gridloom.llm.quality_rules import keep_quality
+from gridloom.llm.quality_rules import STAGE_RATIOS, keep_quality
 from gridloom.llm.queries import MODEL_FILE
 from gridloom.llm.recompression import dedup_substrings
 from gridloom.llm.simhash import drop_near_duplicates
@@ -19,7 +19,7 @@ from gridloom.llm.simhash import drop_near_duplicates
 
 def quality(spark, docs, sf_dir):
     """Documents that the quality rules reject go."""
-    return keep_quality(docs)
+    return keep_quality(docs, STAGE_RATIOS)
 
 
 def near_dedup(spark, docs, sf_dir):

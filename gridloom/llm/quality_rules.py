@@ -5,6 +5,10 @@ buckets (tenths of a percent), which merge by addition, give the same quantile i
 number of buckets. A document is rejected by its group's fences: a ratio above
 median + max(slack, spread * (q75 - q25)), read from the sketch, joined back by (lang, source).
 
+The query's ratios are those of its SQL, where the fence of repeats is never below the base rule's and repeated lines
+are counted by words. A pipeline's are STAGE_RATIOS: the query's and two more, each of which can reject what the base
+rule passes. A stage keeps nothing that the query rejects.
+
 Defined results: a null text has no words (and fails the base rule); null lang or source is a group of its own; a
 group of one document judges it by its own value, which is never above the fence; equal rows get equal verdicts;
 an empty table gives an empty result; other columns are passed on, and a column of a result's name is replaced.
@@ -23,13 +27,18 @@ from gridloom.llm.common import SPACES, materialize, mix, raw_texts, schema_with
 ship(__name__)
 
 SYMBOLS = "#*$%&|<>"
-MEASURES = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType()}
+MEASURES = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType(), "n_lines": T.LongType()}
 #: ratio: (expression in tenths of a percent, slack, spread)
 RATIOS = {
     "symbols": ("n_symbols * 1000 div greatest(word_chars, 1)", 30, 4),
     "dup_lines": ("least(n_dup_lines * 1000 div greatest(n_words, 1), 1000)", 100, 4),
     "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 200, 4),
 }
+#: The query's, and repeated lines by non-blank lines, and repeats with a slack below the base rule's MAX_REPEAT_PERCENT.
+STAGE_RATIOS = RATIOS | {
+    "dup_lines_of_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 300, 4),
+    "repeats_below_base": ("n_repeat_words * 1000 div greatest(n_words, 1)", 150, 4),
+}
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,9 +68,9 @@ def repeat_words(words: list, k: int = 5) -> int:
 
 
 def measure_text(data: bytes | None) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (not blank) of a whole text."""
     if not data:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words, text = data.split(), data.decode()
     seen: set = set()
     dup = 0
@@ -71,7 +80,7 @@ def measure_text(data: bytes | None) -> tuple:
                 dup += 1
             else:
                 seen.add(line)
-    return len(words), len(text) - sum(text.count(c) for c in SPACES), sum(text.count(c) for c in SYMBOLS), dup, repeat_words(words)
+    return len(words), len(text) - sum(text.count(c) for c in SPACES), sum(text.count(c) for c in SYMBOLS), dup, repeat_words(words), dup + len(seen)
 
 
 def _measure(drop: tuple):
@@ -88,9 +97,9 @@ def measure(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     return docs.mapInArrow(_measure(drop), schema_with(docs, drop, **MEASURES))
 
 
-def sketches(measured: DataFrame) -> DataFrame:
+def sketches(measured: DataFrame, ratios: dict = RATIOS) -> DataFrame:
     """(lang, source, ratio, bucket, n): merge two by adding n; at most 1002 buckets (0 to 1001) a group and ratio."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.expr(e).cast("int").alias("bucket")) for r, (e, _, _) in RATIOS.items())))
+    pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.expr(e).cast("int").alias("bucket")) for r, (e, _, _) in ratios.items())))
     capped = F.least(F.col("p.bucket"), F.lit(1001)).alias("bucket")
     return measured.where("n_words > 0").select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.ratio").alias("ratio"), capped).agg(F.count("*").alias("n"))
 
@@ -100,24 +109,24 @@ def quantile(q: float) -> Column:
     return F.min(F.when(F.col("__upto") >= q * F.col("__all"), F.col("bucket")))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
+def thresholds(sketch: DataFrame, ratios: dict = RATIOS) -> DataFrame:
     """(lang, source, one fence for each ratio)."""
     group = Window.partitionBy("lang", "source", "ratio")
     running = sketch.withColumn("__upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("__all", F.sum("n").over(group))
     q = running.groupBy("lang", "source", "ratio").agg(quantile(0.25).alias("q25"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"))
 
     def fence(ratio):
-        slack, spread = RATIOS[ratio][1:]
+        slack, spread = ratios[ratio][1:]
         return F.max(F.when(F.col("ratio") == ratio, F.col("q50") + F.greatest(F.lit(slack), F.lit(spread) * (F.col("q75") - F.col("q25"))))).alias(f"__{ratio}")
 
-    return q.groupBy(F.col("lang").alias("__lang"), F.col("source").alias("__source")).agg(*(fence(r) for r in RATIOS))
+    return q.groupBy(F.col("lang").alias("__lang"), F.col("source").alias("__source")).agg(*(fence(r) for r in ratios))
 
 
-def judge(measured: DataFrame, fences: DataFrame) -> DataFrame:
+def judge(measured: DataFrame, fences: DataFrame, ratios: dict = RATIOS) -> DataFrame:
     """measured with base_failed and kept. fences: materialised; broadcast only while it has few rows."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     within = F.lit(True)
-    for r, (e, _, _) in RATIOS.items():
+    for r, (e, _, _) in ratios.items():
         within = within & (F.least(F.expr(e), F.lit(1001)) <= F.col(f"__{r}"))
     joined = measured.drop("base_failed", "kept").join(small_enough(fences, 50_000), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     names = [c for c in measured.columns if c not in ("base_failed", "kept")]
@@ -130,8 +139,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return judge(measured, materialize(thresholds(sketches(measured))))
 
 
-def keep_quality(docs: DataFrame) -> DataFrame:
+def keep_quality(docs: DataFrame, ratios: dict = RATIOS) -> DataFrame:
     """The rows of docs that the rules keep. Measures are taken twice rather than carry whole texts through a join."""
-    fences = materialize(thresholds(sketches(measure(docs.select("lang", "source", "text"), keep_text=False))))
+    fences = materialize(thresholds(sketches(measure(docs.select("lang", "source", "text"), keep_text=False), ratios), ratios))
     away, back = sheltered(docs, (*MEASURES, "base_failed", "kept"))
-    return back(judge(measure(away), fences).where("kept"))
+    return back(judge(measure(away), fences, ratios).where("kept"))

@@ -230,6 +230,23 @@ def test_rejects_stand_out_in_their_group(spark):
     assert sorted(r["doc_id"] for r in quality_rules.keep_quality(frame(spark, clean + junk)).collect()) == list(range(60))
 
 
+@pytest.mark.parametrize("ratio", ["symbols", "dup_lines_of_lines", "repeats_below_base"])
+def test_each_stage_ratio_alone_rejects(spark, ratio):
+    clean = [(i, "\n".join(" ".join(f"a{(i * 7 + 12 * k + j) % 900}" for j in range(12)) for k in range(20)), "en", "s", 1) for i in range(60)]
+    unique = [" ".join(f"u{k}x{j}" for j in range(12)) for k in range(20)]
+    junk = {
+        "symbols": "\n".join(unique).replace("x", "%x"),
+        "dup_lines_of_lines": "\n".join(f"{line}\nread more about it" for line in unique),
+        "repeats_below_base": "\n".join(f"{line} five words said ten times" if k < 10 else line for k, line in enumerate(unique)),
+    }[ratio]
+    docs = frame(spark, [*clean, (100, junk, "en", "s", 1)])
+    judged = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.quality_rules(docs).collect()}
+    assert judged[100] == (False, ratio != "symbols")
+    assert sorted(r["doc_id"] for r in quality_rules.keep_quality(docs, quality_rules.STAGE_RATIOS).collect()) == list(range(60))
+    others = {n: x for n, x in quality_rules.STAGE_RATIOS.items() if n != ratio}
+    assert quality_rules.keep_quality(docs, others).count() == 61
+
+
 @pytest.mark.parametrize("run", [recompression.dedup_substrings, simhash.near_duplicates, simhash.drop_near_duplicates, quality_rules.quality_rules, quality_rules.keep_quality])
 def test_empty_table_and_clashing_columns(spark, run):
     assert run(spark.createDataFrame([], DOCS)).collect() == []
