@@ -6,8 +6,9 @@ tree, trained once by Gini gain on a labelled table in this module, says which b
 
 Defined results: a null or empty html has an empty text; script, style and other unseen elements are no text, closed or
 not; character references are decoded once; white space (any Unicode white space) inside a block becomes one space;
-blocks are joined by a newline, in page order; equal rows get equal texts; no text is cut, whatever its length; a
-page without ``article`` or ``main`` is judged by its blocks alone; other columns are passed on.
+blocks are joined by a newline, in page order; equal rows get equal texts; no text is cut, whatever its length; the
+tree alone decides on a block, whether or not others of the page stand in ``article`` or ``main``; other columns are
+passed on.
 """
 
 from __future__ import annotations
@@ -203,12 +204,11 @@ def _enter(stack: list, state: dict, item: tuple) -> None:
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page) if page else []
-    has_main = any(b[4] for b in found)
     out = []
     for i, (text, words, links, aside, main, heading) in enumerate(found):
         before, after = (found[i - 1] if i else None), (found[i + 1] if i + 1 < len(found) else None)
         row = (words, links, before[1] if before else 0, before[2] if before else 0.0, after[1] if after else 0, after[2] if after else 0.0, aside, main, heading)
-        if decide(tree, row) and (main or not has_main):
+        if decide(tree, row):
             out.append(text)
     return "\n".join(out)
 

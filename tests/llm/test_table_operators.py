@@ -185,6 +185,12 @@ def test_html_text(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string")).collect() == []
 
 
+@pytest.mark.parametrize("beside", ['<footer><div class="text">(c) me</div></footer>', "<aside><article><p>A teaser of something else</p></article></aside>"])
+def test_html_text_beside_a_rejected_main(beside):
+    text = " ".join(["words of a long article"] * 12)
+    assert html_text.main_text(f"<body><div id=wrap><p>{text}</p></div>{beside}</body>", html_text.trained_tree()) == text
+
+
 def test_html_keeps_long_articles_whole():
     words = [f"word{i}" for i in range(30_000)]
     page = "<body><nav><a>x</a></nav><article>" + "".join(f"<p>{' '.join(words[i : i + 50])}</p>" for i in range(0, 30_000, 50)) + "</article></body>"
