@@ -4,6 +4,12 @@ A page is cut into blocks at block-level tags. A block has its words, its link d
 and what its surroundings are named (menus, headers, footers, ... by element, or by the words of class and id). A small
 tree, trained once by Gini gain on a labelled table in this module, says which blocks are the article's.
 
+What surrounds a block counts in full (aside = 1) if it is an element such as ``nav``, is hidden, or has a name whose
+words all say so or whose last word does (``cookie-notice``, ``site-footer``); blocks in it are not the article's. A name
+that only holds such a word (``has-sidebar``, ``content-sidebar-wrap``) counts half: a long block with few links is kept
+there. ``main`` ends all that is said around it but that it is hidden; around an ``article`` a full name counts half and a
+half one not at all, while elements such as ``aside`` go on to count.
+
 Defined results: a null or empty html has an empty text; script, style and other unseen elements are no text, closed or
 not; character references are decoded once; white space (any Unicode white space) inside a block becomes one space;
 blocks are joined by a newline, in page order; equal rows get equal texts; no text is cut, whatever its length; the
@@ -40,6 +46,8 @@ ASIDE_WORDS = set(
     "sidebar sidebars side aside widget widgets related recommended share sharing social follow subscribe subscription newsletter signup login cookie cookies consent gdpr notice notices alert popup modal overlay "
     "comment comments commentlist discussion disqus replies respond reply form search pagination pager tags toolbar copyright legal disclaimer paywall complementary contentinfo".split()
 )
+#: Words that make a name one of the page's layout, whatever else it holds.
+LAYOUT_WORDS = set("has with without no wrap wrapper layout page container grid outer row".split())
 MAIN = {"article", "main"}
 MAIN_WORDS = set("article content main post story entry body text".split())
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -70,7 +78,10 @@ LABELLED = (
     *((w, d, b, 0.0, a, 0.0, 0, 1, h, 1) for w in (1, 4, 15, 60, 250) for d in (0.0, 0.3) for b in (0, 3, 30, 90) for a in (0, 3, 30, 90) for h in (0, 1) if not (h and w > 15)),
     *((w, 1.0, b, 1.0, a, 1.0, 0, 1, 0, 0) for w in (1, 3, 7) for b in (1, 4) for a in (1, 4)),
     # blocks of what is named as something else, likewise
-    *((w, d, b, 0.0, a, 0.0, 1, m, h, 0) for w in (1, 4, 15, 60, 250) for d in (0.0, 0.3) for b in (0, 30) for a in (0, 30) for m in (0, 1) for h in (0, 1)),
+    *((w, d, b, 0.0, a, 0.0, 1, m, h, 0) for w in (1, 4, 15, 40, 60, 250) for d in (0.0, 0.3) for b in (0, 3, 30, 90) for a in (0, 3, 30, 90) for m in (0, 1) for h in (0, 1)),
+    # blocks of what has such a word in its name: long ones with few links are kept, and shorter ones between long ones
+    *((w, d, b, 0.0, a, 0.0, 0.5, m, 0, int(d == 0.0 and (w >= 40 or w >= 15 and b + a >= 90))) for w in (1, 4, 15, 40, 60, 250) for d in (0.0, 0.6) for b in (0, 3, 30, 90) for a in (0, 3, 30, 90) for m in (0, 1)),
+    *((w, 1.0, b, 1.0, a, 1.0, 0.5, m, 0, 0) for w in (1, 3, 40) for b in (1, 4) for a in (1, 4) for m in (0, 1)),
 )
 
 
@@ -102,25 +113,49 @@ def decide(tree, row) -> int:
     return tree
 
 
-def _setting(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is named as something beside the article, and as the article."""
-    aside, main = tag in ASIDE, tag in MAIN
+def _named(name: str) -> float:
+    """What a name (one word of class, id or role) says: 1 something beside the article, 0.5 that it may be, or 0."""
+    parts = [w.lower() for w in WORD_PART.findall(name)]
+    if ASIDE_WORDS.isdisjoint(parts):
+        return 0.0
+    return 0.5 if not LAYOUT_WORDS.isdisjoint(parts) or parts[0] == "tags" and len(parts) > 1 else 1.0
+
+
+def _setting(tag: str, attributes: str) -> tuple[int, float, bool]:
+    """What an element is by itself (2 hidden, 1 beside the article, or 0), what its names say, and whether it is named as the article."""
+    kind, aside, main = int(tag in ASIDE - {"form", "fieldset"}), float(tag in ("form", "fieldset")), tag in MAIN
     if "=" in attributes and tag not in ("body", "html"):
         for m in NAMED.finditer(attributes):
-            parts = {w.lower() for w in WORD_PART.findall(m[1] or m[2] or m[3] or "")}
+            value = m[1] or m[2] or m[3] or ""
+            parts = {w.lower() for w in WORD_PART.findall(value)}
             main = main or bool(parts & MAIN_WORDS) and not parts & ASIDE_WORDS
-            aside = aside or bool(parts & ASIDE_WORDS) and tag not in MAIN
+            if tag not in MAIN:
+                aside = max([aside, *map(_named, value.split())])
         if re.search(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until-found))|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes, re.I):
-            aside = True
-    return aside, main
+            kind = 2
+    return kind, aside, main
+
+
+def _aside(stack: list) -> float:
+    """How far what is around a place is beside the article: 1, 0.5 or 0."""
+    found, left = 0.0, 0.0  # left: what an article takes off the names around it
+    ended = False
+    for tag, kind, aside, *_ in reversed(stack):
+        if kind == 2 or kind and not ended:
+            return 1.0
+        if not ended:
+            found = max(found, aside - left)
+            ended = tag == "main"
+            left = 0.5 if tag == "article" else left
+    return found
 
 
 def blocks(page: str) -> list:
-    """[(text, words, link density, aside, main, heading)] in page order."""
+    """[(text, words, link density, aside, main, heading)] in page order; aside may be 0.5."""
     out: list = []
-    stack: list = []  # (tag, aside, main, unseen)
+    stack: list = []  # (tag, kind, aside, main, unseen)
     texts: list = []  # (text, in a link)
-    state = {"aside": 0, "main": 0, "unseen": 0, "a": 0, "heading": 0}
+    state = {"main": 0, "unseen": 0, "a": 0, "heading": 0}
 
     def flush():
         if not texts:
@@ -128,12 +163,11 @@ def blocks(page: str) -> list:
         words = "".join(t for t, _ in texts).split()
         if words:
             linked = sum(len(t.split()) for t, a in texts if a)
-            out.append((" ".join(words), len(words), min(1.0, linked / len(words)), int(state["aside"] > 0), int(state["main"] > 0), int(state["heading"] > 0)))
+            out.append((" ".join(words), len(words), min(1.0, linked / len(words)), _aside(stack), int(state["main"] > 0), int(state["heading"] > 0)))
         texts.clear()
 
     def leave(n):
-        for tag, aside, main, unseen in stack[n:]:
-            state["aside"] -= aside
+        for tag, _, _, main, unseen in stack[n:]:
             state["main"] -= main
             state["unseen"] -= unseen
             state["a"] -= tag == "a"
@@ -183,8 +217,8 @@ def blocks(page: str) -> list:
             leave(len(stack) - 1)
         if tag == "body" and state["unseen"]:
             leave(0)  # a head that was never closed
-        aside, main = _setting(tag, m[3])
-        _enter(stack, state, (tag, int(aside), int(main), int(tag in UNSEEN)))
+        kind, aside, main = _setting(tag, m[3])
+        _enter(stack, state, (tag, kind, aside, int(main), int(tag in UNSEEN)))
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
             at = close.start() if close else end
@@ -193,9 +227,8 @@ def blocks(page: str) -> list:
 
 
 def _enter(stack: list, state: dict, item: tuple) -> None:
-    tag, aside, main, unseen = item
+    tag, _, _, main, unseen = item
     stack.append(item)
-    state["aside"] += aside
     state["main"] += main
     state["unseen"] += unseen
     state["a"] += tag == "a"

@@ -191,6 +191,30 @@ def test_html_text_beside_a_rejected_main(beside):
     assert html_text.main_text(f"<body><div id=wrap><p>{text}</p></div>{beside}</body>", html_text.trained_tree()) == text
 
 
+LONG = "<p>" + " ".join(["words of a long article"] * 12) + "</p><p>" + " ".join(["and of its second part"] * 9) + "</p>"
+
+
+@pytest.mark.parametrize(("start", "rest", "kept"), [
+    ('<div class="content-sidebar-wrap"><main>', "</main></div>", True), ('<div class="sidebar"><main>', "</main></div>", True), ('<div class="layout has-sidebar">', "</div>", True),
+    ('<div class="page tags-news">', "</div>", True), ('<div class="layout has-sidebar"><article>', "</article></div>", True), ('<form id="form1"><article>', "</article></form>", True),
+    ('<div class="sidebar">', "</div>", False), ("<aside><article>", "</article></aside>", False), ('<div style="display:none"><main>', "</main></div>", False), ('<main><section class="comments">', "</section></main>", False),
+])
+def test_html_text_in_what_is_named_for_its_layout(start, rest, kept):
+    text = html_text.main_text(f"<body>{start}{LONG}{rest}</body>", html_text.trained_tree())
+    assert len(text.split()) == (105 if kept else 0)
+
+
+def test_tree_keeps_nothing_of_what_is_beside_the_article():
+    tree = html_text.trained_tree()
+    sizes = (0, 1, 2, 3, 7, 10, 14, 20, 25, 40, 60, 100, 250, 2000)
+    assert not any(html_text.decide(tree, (w, d, b, x, a, x, 1, m, h)) for w in sizes[1:] for d in (0.0, 0.2, 0.5, 1.0) for b in sizes for a in sizes for x in (0.0, 1.0) for m in (0, 1) for h in (0, 1))
+
+
+def test_html_teasers_in_a_layout_are_not_text():
+    page = f'<body><div class="layout has-sidebar">{LONG}<ul><li><a href="x">Home</a></li><li><a href="y">More of it</a></li></ul></div><div class="related"><article><p>A short teaser.</p></article></div></body>'
+    assert len(html_text.main_text(page, html_text.trained_tree()).split()) == 105
+
+
 def test_html_keeps_long_articles_whole():
     words = [f"word{i}" for i in range(30_000)]
     page = "<body><nav><a>x</a></nav><article>" + "".join(f"<p>{' '.join(words[i : i + 50])}</p>" for i in range(0, 30_000, 50)) + "</article></body>"
