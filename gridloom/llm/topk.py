@@ -75,7 +75,7 @@ def select(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    none = np.iinfo(np.int64).min
+    none = np.iinfo(np.int64).min + 1  # the least value that has a negative: select() sorts by it
 
     def run(batches):
         best_q, best_id, best_s = (np.zeros(0, np.int64) for _ in range(3))

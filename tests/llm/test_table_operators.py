@@ -29,6 +29,13 @@ def plain_topk(rows, every, k):
     return out
 
 
+def test_own_rows_take_no_candidate_s_place(spark):
+    rows = [(0, [1.0, 2.0], "", "")] * 3 + [(i, [float(i), 1.0], "", "") for i in (1, 2, 3)]
+    got = topk.top_k(spark.createDataFrame(rows, VECTORS).coalesce(1), F.col("vec_id") == 0, 5).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == plain_topk(rows, 50, 5)
+    assert len(got) == 3
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_topk(spark, block):
     r = random.Random(2)
