@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only on a local master (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir() or path
@@ -43,10 +45,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    return append_to(new_path(df.sparkSession), df)
+
+
+def new_path(spark: SparkSession) -> str:
+    """The name of a table that isn't there yet."""
+    return f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
+
+
+def append_to(path: str, df: DataFrame) -> DataFrame:
+    """Add df's rows to the table at path, and read all of it."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_table(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/gridloom-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
 
 
 def task_count(df: DataFrame, bytes_per_task: int = 16 << 20) -> int:
@@ -91,31 +111,58 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+HOT_SHARE = 4096
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: dict, count: str, rows: int) -> DataFrame:
+    """left with right's other columns (null where no row of right fits), where many rows of left may hold one key.
+
+    keys: {column of left: column of right}, compared null-safely; right has each key once, with the number of left's rows
+    that hold it in ``count``, and is materialised. Keys that hold more than one in HOT_SHARE of the ``rows`` rows of left
+    are fewer than HOT_SHARE, so their part of right is broadcast; rows of all other keys meet by a shuffle."""
+
+    def fits(a, b):
+        on = None
+        for x, y in keys.items():
+            on = a[x].eqNullSafe(b[y]) if on is None else on & a[x].eqNullSafe(b[y])
+        return on
+
+    rest = [c for c in right.columns if c not in keys.values() and c != count]
+    limit = max(rows // HOT_SHARE, 1)
+    hot = F.broadcast(right.where(F.col(count) > limit).withColumn("__hot", F.lit(True)))
+    marked = left.join(hot, fits(left, hot), "left")
+    found = marked.where("__hot").select(*left.columns, *rest)
+    others = marked.where("__hot is null").select(*left.columns)
+    cold = right.where(F.col(count) <= limit)
+    return found.unionByName(others.join(cold.hint("merge"), fits(others, cold), "left").select(*left.columns, *rest))
+
+
 def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, fold: tuple, max_docs: int, max_chars: int) -> list:
     """A bounded sample of labelled training rows: [(text bytes, label)], in the order of a hash of doc_id.
 
     fold = (modulus, held-out remainder) of crc32(doc_id as text); rows of the held-out fold are never read.
-    Of several labels for one doc_id the largest counts; rows without id or label don't. Both bounds are parameters:
-    at most max_docs rows and, in hash order, no more than max_chars characters in all (the first text always counts).
-    """
+    Of several labels for one doc_id the largest counts; rows without id or label, and labels without a document, don't.
+    Both bounds are parameters: at most max_docs ids, and no more than max_chars characters in all; in hash order, a
+    text that doesn't fit what is left of them is skipped and later ones are still looked at."""
     modulus, held = fold
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("__y"))
         .where(F.col("doc_id").isNotNull() & F.col("__y").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held))
         .groupBy("doc_id").agg(F.max("__y").alias("__y"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .withColumn("__h", F.xxhash64(F.lit("sample"), "doc_id"))
         .orderBy("__h", "doc_id").limit(max_docs)
     )
     rows = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("__h", "doc_id", "__y", "text", F.coalesce(F.length("text"), F.lit(0)).alias("__n")))
     keep, total = [], 0
-    for r in rows.select("__h", "doc_id", "__n").orderBy("__h", "doc_id", "__n").limit(2 * max_docs).collect():
-        total += r["__n"]
-        if keep and total > max_chars:
-            break
-        keep.append(r["__h"])
+    for r in rows.groupBy("__h", "doc_id", "__n").agg(F.count("*").alias("__c")).orderBy("__h", "doc_id", "__n").limit(2 * max_docs).collect():
+        if total + r["__n"] * r["__c"] <= max_chars and len(keep) < max_docs:
+            total += r["__n"] * r["__c"]
+            keep.append((r["doc_id"], r["__n"]))
     if not keep:
         return []
-    got = rows.where(F.col("__h") <= keep[-1]).orderBy("__h", "doc_id", "text").limit(2 * max_docs).select("text", "__y").collect()
+    chosen = docs.sparkSession.createDataFrame(keep, f"doc_id {dict(docs.dtypes)['doc_id']}, __n int")
+    got = rows.join(F.broadcast(chosen), ["doc_id", "__n"]).orderBy("__h", "doc_id", "text").limit(2 * max_docs).select("text", "__y").collect()
     return [((r["text"] or "").encode(), int(r["__y"])) for r in got]
 
 
