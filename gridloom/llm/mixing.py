@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD_RE, materialize, sheltered, small_enough
+from gridloom.llm.common import WORD_RE, join_skewed, materialize, sheltered, small_enough
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -66,14 +66,14 @@ def prefix_sums(totals: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """(doc_id, __key, size, source_size, target, taken), one row for each row of docs (doc_id, text, source)."""
+    """(doc_id, __key, source, size, source_size, target, taken), one row for each row of docs (doc_id, text, source)."""
     key = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("__key")
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     aims = targets(materialize(sources), weights, most).withColumn("__budget", F.round("target").cast("long"))
-    aims = materialize(aims.withColumn("__ranges", F.ceil(F.col("docs") / RANGE_ROWS).cast("long")).withColumnRenamed("source", "__source"))
-    # the key's upper 32 bits, spread over the source's ranges in order
-    dealt = sized.join(small_enough(aims, 50_000), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__range", F.expr("((shiftright(__key, 32) + 2147483648) * __ranges) div 4294967296"))
+    aims = materialize(aims.withColumn("__ranges", F.ceil(F.col("docs") / RANGE_ROWS).cast("long")).withColumnRenamed("source", "__s"))
+    # the key's upper 32 bits, spread over the source's ranges in order; a source with many documents is joined by broadcast
+    dealt = join_skewed(sized, aims, {"source": "__s"}, "docs", sized.count()).withColumnRenamed("source", "__source").withColumn("__range", F.expr("((shiftright(__key, 32) + 2147483648) * __ranges) div 4294967296"))
     totals = dealt.groupBy("__source", "__range").agg(F.sum("size").alias("__n"))
     starts = materialize(prefix_sums(totals)).withColumnsRenamed({"__source": "__s", "__range": "__r"})
     within = Window.partitionBy("__source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,22 +83,40 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str =
     epochs = F.when(F.col("source_size") > 0, F.expr("__budget div source_size")).otherwise(0)
     rest = F.col("__budget") - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__start") - F.col("__before")))
-    return placed.select("doc_id", "__key", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
+    return placed.select("doc_id", "__key", F.col("__source").alias("source"), "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
+
+
+def numbered(rows: DataFrame, keys: list) -> DataFrame:
+    """rows with __place: 0, 1, ... among the rows that are equal in keys. No window holds more than the rows of one
+    written partition, or one row for each partition, so that keys may be hot."""
+    rows = materialize(rows.withColumn("__part", F.shiftrightunsigned(F.monotonically_increasing_id(), 33)).withColumn("__row", F.monotonically_increasing_id()))
+    counts = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__c"))
+    before = counts.withColumn("__up", F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
+    inner = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__row")) - 1)
+    on = inner["__part"] == before["__part"]
+    for k in keys:
+        on = on & inner[k].eqNullSafe(before[k])
+    return inner.join(before, on).select(*(inner[c] for c in rows.columns if c not in ("__part", "__row")), (F.col("__up") + F.col("__in")).alias("__place"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """docs as the mix takes them: a document for each whole or part epoch it is in, the part cut after its words.
 
-    Columns are those of docs; n_chars, if there is one, is counted anew for a cut text. Rows equal in doc_id and text
-    are one document here: together they are taken as often as the mix takes them."""
-    taken = mix_sources(docs, weights, most, seed).groupBy("doc_id", "__key").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"), F.count("*").alias("__rows"))
-    away, back = sheltered(docs, ("__key", "__taken", "__size", "__rows", "__id", "__k", "__copy"))
+    Columns are those of docs; n_chars, if there is one, is counted anew for a cut text. Of rows equal in doc_id, text
+    and source each takes all epochs, and one after the other, as they are numbered, what the cut leaves them."""
+    own = ("__key", "__taken", "__size", "__rows", "__id", "__k", "__s", "__copy", "__place", "__part", "__row", "__in", "__up", "__c")
+    taken = materialize(mix_sources(docs, weights, most, seed).groupBy("doc_id", "__key", "source").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"), F.count("*").alias("__rows")))
+    away, back = sheltered(docs, own)
     key = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
-    right = taken.where("__taken > 0").withColumnsRenamed({"doc_id": "__id", "__key": "__k"})
-    joined = away.withColumn("__key", key).join(right, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    # each of __rows equal rows stands for an even part of what they take together
-    share = F.expr("__taken div __rows")
-    copies = joined.withColumn("__taken", share).where("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(__taken + __size - 1) div __size"))))
+    right = taken.where("__taken > 0").withColumnsRenamed({"doc_id": "__id", "__key": "__k", "source": "__s"})
+    joined = away.withColumn("__key", key).join(right, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")))
+    if taken.where("__taken > 0 and __rows > 1").limit(1).count():
+        again = numbered(joined.where("__rows > 1"), ["__k", "__id", "__s"])
+        whole = F.expr("__taken div (__rows * __size)")  # epochs that all of the equal rows take
+        left = F.col("__taken") - whole * F.col("__rows") * F.col("__size")
+        mine = whole * F.col("__size") + F.greatest(F.lit(0), F.least(F.col("__size"), left - F.col("__place") * F.col("__size")))
+        joined = joined.where("__rows = 1").unionByName(again.withColumn("__taken", mine).where("__taken > 0").drop("__place"))
+    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(__taken + __size - 1) div __size"))))
     left = F.expr("least(__size, __taken - (__copy - 1) * __size)")
     words = F.regexp_extract_all("text", F.lit(WORD_RE), F.lit(0))
     text = F.when(left == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), " "))
