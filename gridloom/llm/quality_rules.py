@@ -31,7 +31,7 @@ MEASURES = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.
 #: ratio: (expression in tenths of a percent, slack, spread)
 RATIOS = {
     "symbols": ("n_symbols * 1000 div greatest(word_chars, 1)", 30, 4),
-    "dup_lines": ("least(n_dup_lines * 1000 div greatest(n_words, 1), 1000)", 100, 4),
+    "dup_lines": ("n_dup_lines * 1000 div greatest(n_words, 1)", 100, 4),
     "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 200, 4),
 }
 #: The query's, and repeated lines by non-blank lines, and repeats with a slack below the base rule's MAX_REPEAT_PERCENT.
@@ -98,10 +98,10 @@ def measure(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
 
 def sketches(measured: DataFrame, ratios: dict = RATIOS) -> DataFrame:
-    """(lang, source, ratio, bucket, n): merge two by adding n; at most 1002 buckets (0 to 1001) a group and ratio."""
+    """(lang, source, ratio, bucket, n): merge two by adding n; as a ratio's parts are among its whole, at most 1001
+    buckets (0 to 1000) a group and ratio."""
     pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.expr(e).cast("int").alias("bucket")) for r, (e, _, _) in ratios.items())))
-    capped = F.least(F.col("p.bucket"), F.lit(1001)).alias("bucket")
-    return measured.where("n_words > 0").select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.ratio").alias("ratio"), capped).agg(F.count("*").alias("n"))
+    return measured.where("n_words > 0").select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.ratio").alias("ratio"), F.col("p.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def quantile(q: float) -> Column:
@@ -127,7 +127,7 @@ def judge(measured: DataFrame, fences: DataFrame, ratios: dict = RATIOS) -> Data
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     within = F.lit(True)
     for r, (e, _, _) in ratios.items():
-        within = within & (F.least(F.expr(e), F.lit(1001)) <= F.col(f"__{r}"))
+        within = within & (F.expr(e) <= F.col(f"__{r}"))
     joined = measured.drop("base_failed", "kept").join(small_enough(fences, 50_000), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     names = [c for c in measured.columns if c not in ("base_failed", "kept")]
     return joined.select(*names, base.alias("base_failed"), (~base & F.coalesce(within, F.lit(False))).alias("kept"))
