@@ -38,7 +38,6 @@ EDGE = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>«»“”„‘’…-–—*_~#/\\&%+=
 INNER = re.compile(r"[^\W\d_][\d@$!*#%_.+|-]+[^\W\d_]|^[\d@$!]+[^\W\d_]{2}")
 STRETCH = re.compile(r"(.)\1\1")
 STEMS = (4, 5, 6)
-LEXICON_LIMIT = 4096
 FIXED, WORD, STEM, YOU, ODD, LONG, SHOUT = 1, 2, 4, 8, 16, 32, 64
 FEATURES = ("fixed", "word", "stem", "any", "any_count", "near_you", "you", "capitals", "shout", "exclaim", "punctuation", "odd", "stretch", "log_words")
 
@@ -75,8 +74,8 @@ def learned_lexicon(sample: list) -> tuple[set, set]:
     words, stems = [], []
     for key, (clean, toxic) in counts.items():
         if toxic >= 6 and clean <= 0.02 * toxic / max(ratio, 0.02) and toxic > 8 * ratio * (clean + 1):
-            (words if isinstance(key, str) else stems).append((-toxic, key if isinstance(key, str) else key[1]))
-    return {k for _, k in sorted(words)[:LEXICON_LIMIT]}, {k for _, k in sorted(stems)[:LEXICON_LIMIT]}
+            words.append(key) if isinstance(key, str) else stems.append(key[1])
+    return set(words), set(stems)
 
 
 class Reader:
