@@ -1,14 +1,19 @@
 """SimHash near-duplicates with BK-trees.
 
-Each document gets a 64-bit fingerprint of its word shingles. Distinct fingerprints are dealt to shards by bands
-of bits: two fingerprints within ``radius`` bits agree on at least ``blocks - radius`` of ``blocks`` bit blocks,
-so every linked pair meets in some shard. Each shard's BK-tree is built in the task that queries it (the number of
-fingerprints has no bound, so trees travel with the shuffle, not by broadcast); a query follows only the edges whose
-key is within the radius. A shard returns a spanning star of each component it sees, never all pairs.
-
-Defined results: a null or wordless text has fingerprint 0; equal rows get equal fingerprints and one component;
-a null doc_id is larger than any other id, so a component_id is null only if all its ids are; an empty table gives
-an empty result; other columns are never read.
+Each document gets a 64-bit fingerprint of its word shingles. Distinct fingerprints are dealt to shards of some hundreds
+by bands of bits: two fingerprints within ``radius`` bits agree on at least ``blocks - radius`` of ``blocks`` bit blocks,
+so every linked pair meets in some shard. A band uses no more bits than give shards of about TARGET values, so that a
+shard's BK-tree, not the band, finds the links: its values go down the tree together and follow only the edges whose key
+is within the radius. A shard of more than ``shard_limit`` values is dealt anew by further bits: of its pairs within the
+radius each agrees on one of ``radius + 1`` blocks of the bits not yet used. A shard returns a spanning star of each
+component it sees, never all pairs.
+
+Trees are built in the task that asks them and travel with the shuffle. To broadcast the trees of all fingerprints
+would mean to collect these in the driver, in blocks as it may be, which no size bounds and which isn't allowed.
+
+Defined results: a null or wordless text has fingerprint 0; a text of any length is taken whole; equal rows get equal
+fingerprints and one component; a null doc_id is larger than any other id, so a component_id is null only if all its
+ids are; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -19,15 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from gridloom.llm.common import materialize, raw_texts, schema_with, ship, small_enough, task_count, with_columns
-from pyspark.sql import types as T
+from gridloom.llm.common import delete_table, join_skewed, materialize, raw_texts, schema_with, ship, task_count, with_columns
 
 ship(__name__)
 
 SHARD_LIMIT = 2048
-LEAF = 48
+TARGET = 512
+LEAF = 16
+#: Shards that differ in no more than so many bits are never dealt anew: they hold 64 values at most.
+LAST_BITS = 6
 CHUNK = 255 * 64
 
 
@@ -80,6 +88,7 @@ class BKTree:
 
     def __init__(self, values: np.ndarray):
         self.values = values
+        self.asked = 0  # inner nodes that queries have come to
         self.nodes: list = []  # (pivot index, {distance: child}) or an index array
         stack = [(np.arange(len(values)), None, 0)]
         while stack:
@@ -110,6 +119,7 @@ class BKTree:
                     found.append((q[a], node[b]))
                 continue
             pivot, children = node
+            self.asked += 1
             d = np.bitwise_count(queries[active] ^ self.values[pivot]).astype(np.int64)
             near = active[d <= radius]
             found.append((near, np.full(len(near), pivot)))
@@ -134,76 +144,51 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_shard(values: np.ndarray, chunk: np.ndarray, first: int, second: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (least member, member) of the components that a shard's pairs make.
-
-    A shard that isn't split has one chunk (first = second); of a split one this unit has two, and the tree of
-    one is asked for the values of the other."""
-    if first == second:
-        tree_at = query_at = np.arange(len(values))
-    else:
-        tree_at, query_at = np.flatnonzero(chunk == first), np.flatnonzero(chunk == second)
-        if not len(tree_at) or not len(query_at):
-            return values[:0], values[:0]
-    q, t = BKTree(values[tree_at]).within(values[query_at], radius)
-    label = least_labels(len(values), query_at[q], tree_at[t])
+def link_shard(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Star edges (least member, member) of the components that a shard's pairs make, and how many inner nodes of its
+    tree were asked."""
+    tree = BKTree(values)
+    label = least_labels(len(values), *tree.within(values, radius))
     members = np.flatnonzero(label != np.arange(len(values)))
-    return values[label[members]], values[members]
+    return values[label[members]], values[members], tree.asked
 
 
 def _link(radius: int):
-    keys = ("__t", "__v", "__i", "__j")
-
-    def edges(group):
-        fps, chunk, i, j = group
-        return link_shard(fps.view(np.uint64), chunk, i, j, radius)
+    """Shards, whose rows (__m, __v, __fp) come one after the other, to edges (src, dst)."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def run(batches):
-        held: list = []  # arrays of the group that may go on in the next batch
-        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-
-        def flush(parts):
-            fps = np.concatenate([p["__fp"] for p in parts])
-            if len(fps) < 2:
-                return None
-            i, j = int(parts[0]["__i"][0]), int(parts[0]["__j"][0])
-            return edges((fps, np.concatenate([p["__c"] for p in parts]), i, j))
-
+        held: list = []  # the fingerprints of the shard that may go on in the next batch
+        key = None
         for batch in batches:
-            cols = {n: np.asarray(batch.column(batch.schema.get_field_index(n))) for n in (*keys, "__fp", "__c")}
-            n = len(cols["__fp"])
-            if not n:
+            mask, value, fps = (np.asarray(batch.column(batch.schema.get_field_index(n))) for n in ("__m", "__v", "__fp"))
+            if not len(fps):
                 continue
-            new = np.zeros(n, bool)
-            for k in keys:
-                new[1:] |= cols[k][1:] != cols[k][:-1]
-            starts = np.concatenate([[0], np.flatnonzero(new), [n]])
-            out: list = []
-            if held and any(held[0][k][0] != cols[k][0] for k in keys):
-                out.append(flush(held))
-                held = []
-            sizes = np.diff(starts)
-            for g in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
-                part = {k: v[starts[g] : starts[g + 1]] for k, v in cols.items()}
-                if g == 0 and held:
-                    part_list = [*held, part]
-                    held = []
-                else:
-                    part_list = [part]
-                if g == len(sizes) - 1:
-                    held = part_list
-                else:
-                    out.append(flush(part_list))
-            out = [x for x in out if x is not None and len(x[0])]
-            if out:
-                src, dst = (np.concatenate([x[i] for x in out]).view(np.int64) for i in (0, 1))
+            starts = np.concatenate([[0], np.flatnonzero((mask[1:] != mask[:-1]) | (value[1:] != value[:-1])) + 1, [len(fps)]])
+            found = []
+            for lo, hi in zip(starts, starts[1:]):
+                if key != (mask[lo], value[lo]):
+                    found.append(_edges(held, radius))
+                    held, key = [], (mask[lo], value[lo])
+                held.append(fps[lo:hi])
+            src, dst = (np.concatenate([x[i] for x in found] or [fps[:0]]) for i in (0, 1))
+            if len(src):
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], schema=schema)
-        if held and (x := flush(held)) is not None and len(x[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].view(np.int64))], schema=schema)
+        src, dst = _edges(held, radius)
+        if len(src):
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], schema=schema)
 
     return run
 
 
+def _edges(parts: list, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    if len(values) < 2:
+        return values[:0], values[:0]
+    src, dst, _ = link_shard(values.view(np.uint64), radius)
+    return src.view(np.int64), dst.view(np.int64)
+
+
 def band_masks(n: int, radius: int, expected: int = 256) -> list[int]:
     """Bit masks such that two 64-bit values within the radius agree under one of them; the fewest blocks for which
     n random values give shards of about ``expected``."""
@@ -219,45 +204,75 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def narrowed(mask: int, n: int, target: int = TARGET) -> int:
+    """The mask's highest bits, no more of them than deal n random values into shards of about ``target``."""
+    bits = max(0, (max(n, 1) - 1).bit_length() - max(target, 1).bit_length() + 1)
+    kept = [b for b in range(63, -1, -1) if mask >> b & 1][:bits]
+    return sum(1 << b for b in kept)
+
+
+def further_masks(mask: int, radius: int) -> list[int]:
+    """mask with each of radius + 1 blocks of the other bits: two values that agree under mask and are within the radius
+    agree under one of these. None if too few bits are left to part many values."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) <= max(LAST_BITS, radius + 1):
+        return []
+    cut = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[lo:hi]) for lo, hi in zip(cut, cut[1:])]
+
+
+def shards(values: DataFrame, radius: int = 3, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """(__m, __v, __fp): the shards, each a mask of bits and what its values hold there. Any two values within the
+    radius are in some shard together. values: a materialised table of distinct ``__fp``."""
+    spark = values.sparkSession
+    n = values.count()
+    masks = sorted({narrowed(m, n, min(TARGET, max(1, shard_limit // 4))) for m in band_masks(n, radius)})
+    dealt = values.select("__fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("__m"))
+    done = None
+    while True:
+        dealt = dealt.withColumn("__v", F.col("__fp").bitwiseAND(F.col("__m")))
+        sizes = dealt.groupBy(F.col("__m").alias("m"), F.col("__v").alias("v")).agg(F.count("*").alias("__n"))
+        hot = materialize(sizes.where(F.col("__n") > shard_limit))
+        used = [r["m"] for r in hot.select("m").distinct().collect()]  # masks, not values: a few for each round
+        pairs = [(m, _signed(f)) for m in used for f in further_masks(m % (1 << 64), radius)]
+        if not pairs:
+            return (dealt if done is None else done.unionByName(dealt)).select("__m", "__v", "__fp")
+        splits = spark.createDataFrame(sorted({m for m, _ in pairs}), "long").withColumnRenamed("value", "m")
+        hot = materialize(hot.join(F.broadcast(splits), "m", "left_semi").withColumn("__again", F.lit(True)))
+        marked = materialize(join_skewed(dealt, hot, {"__m": "m", "__v": "v"}, "__n", dealt.count()))
+        stay = marked.where("__again is null").select("__m", "__v", "__fp")
+        done = stay if done is None else done.unionByName(stay)
+        further = spark.createDataFrame(pairs, "__m long, further long")
+        dealt = marked.where("__again").join(F.broadcast(further), "__m").select("__fp", F.col("further").alias("__m"))
+
+
 def links(values: DataFrame, radius: int = 3, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """(src, dst) edges whose components are those of the graph of all pairs within the radius.
 
-    values: a materialised table of distinct ``__fp``. A shard above shard_limit is split into chunks, and each
-    pair of chunks becomes a unit of its own, so that no task gets an unbounded shard."""
-    n = values.count()
-    masks = band_masks(n, radius)
-    bands = values.select("__fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("__fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for t, m in enumerate(masks)))).alias("b")).select("__fp", F.col("b.t").alias("__t"), F.col("b.v").alias("__v"))
-    hot = materialize(bands.groupBy("__t", "__v").agg(F.count("*").alias("__n")).where(F.col("__n") > shard_limit))
-    if hot.limit(1).count():
-        units = (
-            bands.join(small_enough(hot, 100_000), ["__t", "__v"], "left")
-            .withColumn("__m", F.coalesce(F.ceil(F.col("__n") / shard_limit), F.lit(1)).cast("int"))
-            .withColumn("__c", F.pmod(F.xxhash64("__fp"), F.col("__m")).cast("int"))
-            .withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))
-            .select("__t", "__v", F.least("__c", "__o").alias("__i"), F.greatest("__c", "__o").alias("__j"), "__c", "__fp")
-        )
-    else:
-        zero = F.lit(0)
-        units = bands.select("__t", "__v", zero.alias("__i"), zero.alias("__j"), zero.alias("__c"), "__fp")
-    keys = ["__t", "__v", "__i", "__j"]
-    parts = task_count(values, 4 << 20)
-    return units.repartition(parts, *keys).sortWithinPartitions(*keys, "__fp").mapInArrow(_link(radius), "src long, dst long")
+    values: a materialised table of distinct ``__fp``."""
+    units = shards(values, radius, shard_limit).repartition(task_count(values, 4 << 20), "__m", "__v")
+    return units.sortWithinPartitions("__m", "__v", "__fp").mapInArrow(_link(radius), "src long, dst long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): comp is the least node of the component. edges: (src, dst) longs, materialised.
 
-    Rounds of neighbour minima and pointer jumps; each round is written to the shared folder, and only a count
-    comes to the driver."""
+    Rounds of neighbour minima and pointer jumps; each round is written to the shared folder, the one before it
+    deleted, and only a count comes to the driver. A node has few edges, but a component may hold most nodes, so the jump
+    goes by a join for hot keys."""
     both = materialize(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     label = materialize(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("comp")))
+    nodes = label.count()
     while True:
         near = both.join(label.select(F.col("node").alias("dst"), F.col("comp").alias("near")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("near").alias("near"))
-        new = label.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = materialize(new.join(jump, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"), "old"))
-        changed = new.where(F.col("comp") != F.col("old")).limit(1).count()
-        label = new.select("node", "comp")
+        new = materialize(label.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")))
+        jump = new.groupBy(F.col("comp").alias("at")).agg(F.count("*").alias("__n")).join(label.select(F.col("node").alias("at"), F.col("comp").alias("far")), "at")
+        jumped = join_skewed(new, materialize(jump), {"comp": "at"}, "__n", nodes)
+        after = materialize(jumped.select("node", F.coalesce("far", "comp").alias("comp"), "old"))
+        changed = after.where(F.col("comp") != F.col("old")).limit(1).count()
+        delete_table(label)
+        delete_table(new)
+        label = after.select("node", "comp")
         if not changed:
             return label
 
@@ -265,21 +280,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, __fp, component_id), one row for each row of docs (doc_id, text; other columns are not read)."""
     marked = materialize(fingerprints(docs.select("doc_id", "text"), k, seed))
-    values = materialize(marked.groupBy("__fp").agg(F.min("doc_id").alias("__least")))
+    values = materialize(marked.groupBy("__fp").agg(F.min("doc_id").alias("__least"), F.count("*").alias("__n")))
     edges = materialize(links(values.select("__fp"), radius))
     if edges.limit(1).count():
-        comp = components(edges)
-        named = materialize(values.join(comp.withColumnRenamed("node", "__fp"), "__fp", "left").select("__fp", F.coalesce("comp", "__fp").alias("comp"), "__least"))
-        least = named.groupBy("comp").agg(F.min("__least").alias("component_id"))
-        values = materialize(named.join(least, "comp").select("__fp", "component_id"))
+        comp = components(edges).select(F.col("node").alias("__fp"), "comp")
+        named = materialize(values.join(comp, "__fp", "left").select("__fp", F.coalesce("comp", "__fp").alias("comp"), "__least", "__n"))
+        least = materialize(named.groupBy(F.col("comp").alias("__c")).agg(F.min("__least").alias("component_id"), F.count("*").alias("__m")))
+        values = materialize(join_skewed(named, least, {"comp": "__c"}, "__m", named.count()).select("__fp", "__n", "component_id"))
     else:
-        values = values.select("__fp", F.col("__least").alias("component_id"))
-    return marked.join(values, "__fp").select("doc_id", "__fp", "component_id")
+        values = values.select("__fp", "__n", F.col("__least").alias("component_id"))
+    return join_skewed(marked, values.withColumnRenamed("__fp", "__f"), {"__fp": "__f"}, "__n", marked.count()).select("doc_id", "__fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """docs with one document of each component: the one with the least doc_id. Rows that repeat that doc_id are
-    the same document, of which one row stays (null ids: likewise one row, where no other id is in the component)."""
+    the same document, of which one row stays, that of the least fingerprint and text (null ids: likewise one row, where
+    no other id is in the component)."""
     found = near_duplicates(docs, k, radius, seed)
     stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "__fp").agg(F.count("*").alias("__n")))
     again = stay.where((F.col("__n") > 1) | F.col("doc_id").isNull()).limit(1).count() or stay.groupBy("doc_id").count().where("count > 1").limit(1).count()
@@ -289,4 +305,6 @@ def drop_near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, seed: int
     one = fingerprints(docs.withColumn("__text", F.col("text")), k, seed).withColumnRenamed("__text", "text")
     pick = stay.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("__fp")).alias("__z")).agg(F.min("__fp").alias("__fp")).select(F.col("doc_id").alias("__id"), F.col("__fp").alias("__f"))
     kept = one.join(pick, one["doc_id"].eqNullSafe(pick["__id"]) & (one["__fp"] == pick["__f"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)
+    row = F.struct(*docs.columns)
+    least = kept.groupBy("doc_id", "__fp").agg(F.min_by(row, F.struct("text", F.xxhash64(*docs.columns))).alias("__row"))
+    return least.select("__row.*")
