@@ -8,9 +8,12 @@ encoding of the text up to there, so the result is the library's for either kind
 
 Where no piece of the vocabulary can cross (before a word's space mark after another character, or around a
 character that no piece holds) all paths meet, so the text falls apart there; the parts' ids are kept in a bounded cache.
+A text is read in slices of SLICE characters, and GROUP characters of slices are searched at a time: their new parts in
+sorted order, so that a search goes on from the boundary up to which it equals the one before. A part of more than LONG
+characters goes through the stream slice by slice, and its ids leave as they are committed.
 
 Defined results: a null text has null ids, an empty one none; characters without a piece become byte pieces, or the
-unknown id where the model has none; texts of any length need a window of bounded size; other columns are passed on. Decoding
+unknown id where the model has none; texts of any length need slices and a window of bounded size; other columns are passed on. Decoding
 gives the text back exactly, but for literal U+2581 marks (read as spaces) and unknown ids (their surface, as the model says).
 """
 
@@ -34,6 +37,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 CACHE = 250_000
+SLICE, GROUP, LONG = 1 << 16, 1 << 20, 256
 
 
 def _fields(data: bytes):
@@ -110,6 +114,23 @@ class Model:
             return ""
         return (MARK if self.prefix else "") + text.replace(" ", MARK)
 
+    def slices(self, text: str, size: int):
+        """normalized(text) in pieces that come from ``size`` characters of the text each."""
+        begun = space = False
+        for lo in range(0, len(text), size):
+            part = text[lo : lo + size]
+            if self.squeeze:
+                part = re.sub(" +", " ", part)
+                if space or not begun:
+                    part = part.lstrip(" ")
+                if space and part:
+                    part, space = " " + part, False
+                if part.endswith(" "):
+                    part, space = part[:-1], True
+            if part:
+                yield (MARK if self.prefix and not begun else "") + part.replace(" ", MARK)
+                begun = True
+
     def merged(self, text: str) -> list:
         """BPE by definition: again and again the neighbours whose union scores best, the leftmost of equals."""
         parts = list(text)
@@ -153,22 +174,33 @@ class Stream:
         self.text, self.back, self.code, self.best, self.done = "", [0], [-1], [0.0], 0
 
     def feed(self, part: str) -> list:
-        self.text = self.text + part if self.text else part
         out: list = []
         search = self._search_bpe if self.m.kind == BPE else self._search_unigram
-        while self.done < len(self.text):
-            upto = min(len(self.text), self.step + self.m.longest)
-            search(upto)
-            self.done = upto
-            if upto >= self.step + self.m.longest:
+        for lo in range(0, len(part), self.step):
+            more = part[lo : lo + self.step]
+            self.text = self.text + more if self.text else more
+            search(len(self.text))
+            self.done = len(self.text)
+            if self.done >= self.step + self.m.longest:
                 out += self._commit()
         return out
 
+    def resume(self, text: str, same: int) -> list:
+        """Ids of a text that equals the one before (of a resume) in its first ``same`` characters."""
+        del self.back[same + 1 :], self.code[same + 1 :], self.best[same + 1 :]
+        self.text, self.done = text, same
+        (self._search_bpe if self.m.kind == BPE else self._search_unigram)(len(text))
+        self.done = len(text)
+        return self._trace(len(text))
+
     def finish(self) -> list:
         out = self._trace(len(self.text))
-        self.text, self.back, self.code, self.best, self.done = "", [0], [-1], [0.0], 0
+        self.reset()
         return out
 
+    def reset(self) -> None:
+        self.text, self.back, self.code, self.best, self.done = "", [0], [-1], [0.0], 0
+
     def _trace(self, end: int) -> list:
         back, code, out = self.back, self.code, []
         while end:
@@ -238,32 +270,121 @@ class Stream:
 class Encoder:
     """Whole texts to packed ids. Parts that pieces can't cross are searched on their own and kept in a cache."""
 
-    def __init__(self, model: Model, cache: int = CACHE):
-        self.m, self.size, self.cache, self.older = model, cache, {}, {}  # two generations, so that frequent parts stay
-        self.stream = Stream(model)
+    def __init__(self, model: Model, cache: int = CACHE, size: int = SLICE, group: int = GROUP):
+        self.m, self.limit, self.cache, self.older = model, cache, {}, {}  # two generations, so that frequent parts stay
+        self.size, self.group = size, group
+        self.stream, self.sorted, self.single = Stream(model), Stream(model), Stream(model)  # the first may hold an open part
         hard = "".join(model.hard)
         self.part = re.compile(f"{MARK}*[^{MARK}{re.escape(hard)}]+|{MARK}+" + (f"|[{re.escape(hard)}]" if hard else "")) if model.splits else None
+        self.rest = {False: re.compile(f"{MARK}*[^{MARK}{re.escape(hard)}]*"), True: re.compile(f"[^{MARK}{re.escape(hard)}]*")}
 
-    def _part(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        if ids is None:
-            ids = array("i", self.stream.feed(part) + self.stream.finish()).tobytes()
-        if len(part) <= 64 and len(self.cache) < self.size:
-            self.cache[part] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        text = self.m.normalized(text)
+    def _split(self, text: str):
+        """Lists of parts, or packed ids of (a piece of) one long part, in order."""
         if self.part is None:
-            return self._part(text) if text else b""
-        parts = self.part.findall(text)
-        if len(self.cache) + len(parts) > self.size:
+            for piece in self.m.slices(text, self.size):
+                yield array("i", self.stream.feed(piece)).tobytes()
+            yield array("i", self.stream.finish()).tobytes()
+            return
+        carry, open_, worded = "", False, False  # open_: the stream holds the begin of a long part, worded: and it has more than marks
+        for piece in self.m.slices(text, self.size):
+            if open_:
+                more = self.rest[worded].match(piece)[0]
+                worded = worded or bool(more.strip(MARK))
+                yield array("i", self.stream.feed(more)).tobytes()
+                piece = piece[len(more) :]
+                if not piece:
+                    continue
+                yield array("i", self.stream.finish()).tobytes()
+                open_ = False
+            parts = self.part.findall(carry + piece)
+            carry = parts.pop()
+            yield parts
+            if len(carry) > LONG:
+                yield array("i", self.stream.feed(carry)).tobytes()
+                carry, open_, worded = "", True, bool(carry.strip(MARK))
+                if self.m.hard and piece[-1] in self.m.hard:
+                    worded = True
+        if open_:
+            yield array("i", self.stream.finish()).tobytes()
+        elif carry:
+            yield [carry]
+
+    def _learn(self, new: set) -> None:
+        """Ids of parts into the cache; in sorted order each search starts from what the one before has in common."""
+        again = {p for p in new if p in self.older}
+        if len(self.cache) + len(new) > self.limit:
             self.older, self.cache = self.cache, {}
-        get = self.cache.get
-        out = b"".join([get(p) or self._part(p) for p in parts])
-        if not self.m.bytes:
-            out = np.array(_squash(np.frombuffer(out, np.int32).tolist(), self.m.unknown), np.int32).tobytes()
-        return out
+            kept = self.older
+        else:
+            kept = None
+        for p in again:
+            self.cache[p] = (kept or self.older).get(p) or self._alone(p)
+        before, stream, cache = "", self.sorted, self.cache
+        for p in sorted(new - again):
+            if len(p) > LONG:
+                cache[p] = self._alone(p)
+                continue
+            k, n = 0, min(len(p), len(before))
+            while k < n and p[k] == before[k]:
+                k += 1
+            cache[p] = array("i", stream.resume(p, k)).tobytes()
+            before = p
+        stream.reset()
+
+    def _alone(self, part: str) -> bytes:
+        return array("i", self.single.feed(part) + self.single.finish()).tobytes()
+
+    def encode_many(self, texts: list) -> list:
+        """Packed ids of each text (None for None)."""
+        out: list = [None if t is None else [] for t in texts]
+        held: list = []
+        size = 0
+
+        def flush():
+            new = set()
+            for _, items in held:
+                new.update(items)
+            needed = new
+            new = new.difference(self.cache)
+            if new:
+                before = self.cache
+                self._learn(new)
+                if self.cache is not before:  # a new generation: what this group needs comes along
+                    for p in needed - new:
+                        self.cache[p] = before[p]
+            get = self.cache.__getitem__
+            for i, items in held:
+                out[i].append(b"".join(map(get, items)))
+            for p in new:
+                if len(p) > 64:
+                    del self.cache[p]
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for items in self._split(text) if text else ():
+                if isinstance(items, bytes):
+                    if held:
+                        flush()
+                        size = 0
+                    out[i].append(items)
+                else:
+                    held.append((i, items))
+            size += len(text or "")
+            if size >= self.group and held:
+                flush()
+                size = 0
+        if held:
+            flush()
+        return [None if x is None else self._joined(x) for x in out]
+
+    def _joined(self, packed: list) -> bytes:
+        data = b"".join(packed)
+        if not self.m.bytes and data:
+            data = np.array(_squash(np.frombuffer(data, np.int32).tolist(), self.m.unknown), np.int32).tobytes()
+        return data
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
 
 class Decoder:
@@ -276,17 +397,20 @@ class Decoder:
         return data[1:] if self.prefix and data.startswith(b" ") else data
 
 
-def _encode(model: Model, column: str):
+def _encode(model: Model, column: str, result: str | None = None):
     def run(batches):
-        encoder = Encoder(model)
+        encoder, table = Encoder(model), Decoder(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                packed = [None if t is None else encoder.encode(t) for t in part.column(part.schema.names.index(column)).to_pylist()]
+                packed = encoder.encode_many(part.column(part.schema.names.index(column)).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(p or b"") // 4 for p in packed])]).astype(np.int32)
                 flat = pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([p is None for p in packed]))
-                yield with_columns(part, (), ids=ids)
+                new = {"ids": ids}
+                if result:
+                    new[result] = pa.array([None if p is None else table.decode(np.frombuffer(p, np.int32).tolist()).decode(errors="replace") for p in packed], pa.string())
+                yield with_columns(part, (), **new)
 
     return run
 
@@ -315,6 +439,12 @@ def encode(docs: DataFrame, model_file: str, column: str = "text") -> DataFrame:
     return docs.mapInArrow(_encode(load(model_file), column), schema_with(docs, (), ids=T.ArrayType(T.IntegerType())))
 
 
+def encode_and_decode(docs: DataFrame, model_file: str, column: str = "text", result: str = "decoded") -> DataFrame:
+    """docs with ids and the text that they stand for, in one pass."""
+    schema = schema_with(docs, (), ids=T.ArrayType(T.IntegerType()), **{result: T.StringType()})
+    return docs.mapInArrow(_encode(load(model_file), column, result), schema)
+
+
 def decode(encoded: DataFrame, model_file: str, column: str = "ids", result: str = "decoded") -> DataFrame:
     """encoded with the text that its ids stand for."""
     return encoded.mapInArrow(_decode(Decoder(load(model_file)), column, result), schema_with(encoded, (), **{result: T.StringType()}))

@@ -30,8 +30,7 @@ def op3_toxicity(spark, sf_dir):
 
 
 def op4_sentencepiece(spark, sf_dir):
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE)
-    decoded = pieces.decode(encoded, MODEL_FILE)
+    decoded = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE)
     return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
