@@ -1,11 +1,13 @@
 """Quality classifier: hashed word and character n-gram vectors, averaged per document, with a softmax output.
 
-A word's features are its own hash and those of its character n-grams (3 to 5, with word marks); a word bigram enters
-by its pattern, as one feature where a word repeats the one before. Vectors and output weights are learned by numpy stochastic
-gradient descent in the driver, on a bounded sample (TRAIN_DOCS rows, TRAIN_CHARS characters) of the training fold.
-As the output is linear in the average, scoring needs one number for each feature; a word's sum is kept in a bounded cache.
-
-Defined results: a null or wordless text has no features and gets the output of the zero vector; rows without a label
+A word's features are its own hash and those of its character n-grams (3 to 5, with word marks); each two words in a
+row are a bigram, hashed to buckets of its own, and one more feature says that a word repeats the one before. Vectors
+and output weights are learned by numpy stochastic gradient descent in the driver, on a bounded sample (TRAIN_DOCS rows,
+TRAIN_CHARS characters) of the training fold. As the output is linear in the average, scoring needs one number for each
+feature; a word's sum is kept in a bounded cache.
+
+Defined results: a null or wordless text has no features and gets the output of the zero vector; a text of any length
+is read whole, in pieces of AT_ONCE words; rows without a label
 are scored like all others; without training rows of both labels every score is the share of label 1 (1 if there is
 none); equal texts get equal scores; a null doc_id counts as the empty text for the fold; labels, lang, source and doc_id are no features.
 """
@@ -27,7 +29,8 @@ ship(__name__)
 FOLD = (4, 2)
 TRAIN_DOCS, TRAIN_CHARS = 4_000, 14_000_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 8, 6, 12.0
-SAME = BUCKETS  # the repeated-word bigram
+SAME = BUCKETS  # a word repeats the one before
+PAIRS = 1 << 16  # buckets of bigrams, after SAME
 AT_ONCE = 50_000
 _P = np.uint64(0x100000001B3)
 
@@ -48,6 +51,16 @@ def features(words: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(found)
 
 
+def word_keys(words: list) -> np.ndarray:
+    """A 64-bit name of each word, of which bigrams are made."""
+    return mix(np.fromiter((zlib.crc32(w) for w in words), np.uint64, len(words)) + _P)
+
+
+def pairs(keys: np.ndarray) -> np.ndarray:
+    """The features of the bigrams of words with these keys."""
+    return (mix(keys[:-1] * _P + keys[1:]) % np.uint64(PAIRS)).astype(np.int64) + SAME + 1
+
+
 def text_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The features of a whole text and how often each occurs."""
     words = data.split()
@@ -64,6 +77,13 @@ def text_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids[times > 0], times[times > 0]
 
 
+def all_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """text_features and the text's bigrams, and how often each occurs."""
+    ids, times = text_features(data)
+    two, twice = np.unique(pairs(word_keys(data.split())), return_counts=True)
+    return np.concatenate([ids, two]), np.concatenate([times, twice])
+
+
 class Embeddings:
     def __init__(self, sample: list, seed: int = 7):
         y = np.array([t for _, t in sample], np.int64)
@@ -72,9 +92,9 @@ class Embeddings:
         if len(set(y.tolist())) < 2:
             return
         rng = np.random.default_rng(seed)
-        vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
+        vectors = rng.uniform(-1 / DIM, 1 / DIM, (SAME + 1 + PAIRS, DIM)).astype(np.float32)
         out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-        texts = [(i, (w / w.sum()).astype(np.float32)) if len(i) else (i, w.astype(np.float32)) for i, w in (text_features(t) for t, _ in sample)]
+        texts = [(i, (w / w.sum()).astype(np.float32)) if len(i) else (i, w.astype(np.float32)) for i, w in (all_features(t) for t, _ in sample)]
         rounds, done = EPOCHS * len(texts), 0
         for _ in range(EPOCHS):
             for k in rng.permutation(len(texts)):
@@ -95,34 +115,50 @@ class Embeddings:
 
 
 class Reader:
-    """Scores texts; a word's sum of effects and number of features are kept while no more than ``cache`` are held."""
+    """Scores texts; a word's sum of effects, number of features and key are kept while no more than ``cache`` are held."""
 
     def __init__(self, model: Embeddings, cache: int = 200_000):
         self.m, self.size, self.cache = model, cache, {}
+        self.sums, self.counts, self.keys, self.used = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
 
     def _learn(self, words: list) -> None:
         for lo in range(0, len(words), AT_ONCE):
             some = words[lo : lo + AT_ONCE]
             at, found = features(some)
-            self.cache.update(zip(some, zip(np.bincount(at, self.m.effect[found]).tolist(), np.bincount(at).tolist())))
+            n = self.used + len(some)
+            if n > len(self.sums):
+                self.sums, self.counts, self.keys = (np.concatenate([x[: self.used], np.zeros(2 * n - self.used, x.dtype)]) for x in (self.sums, self.counts, self.keys))
+            self.sums[self.used : n] = np.bincount(at, self.m.effect[found])
+            self.counts[self.used : n] = np.bincount(at)
+            self.keys[self.used : n] = word_keys(some)
+            self.cache.update(zip(some, range(self.used, n)))
+            self.used = n
 
     def score(self, data: bytes | None) -> float:
-        m, z = self.m, 0.0
+        m = self.m
         if m.effect is None:
             return m.share
         words = (data or b"").split()
-        if words:
-            if len(self.cache) > self.size:
+        total, number, last = 0.0, 0, None
+        for lo in range(0, len(words), AT_ONCE):
+            some = words[lo : lo + AT_ONCE]
+            if self.used > self.size:
                 self.cache.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.cache]
+                self.used = 0
+            new = [w for w in dict.fromkeys(some) if w not in self.cache]
             if new:
                 self._learn(new)
-            got = list(map(self.cache.__getitem__, words))
-            same = 4 * sum(map(bytes.__eq__, words, words[1:]))
-            z = (sum(s for s, _ in got) + same * float(m.effect[SAME])) / (sum(n for _, n in got) + same)
+            at = np.fromiter(map(self.cache.__getitem__, some), np.int64, len(some))
+            keys = self.keys[at] if last is None else np.concatenate([last, self.keys[at]])
+            two = pairs(keys)
+            same = 4 * (int((at[1:] == at[:-1]).sum()) + int(lo > 0 and some[0] == words[lo - 1]))
+            total += float(self.sums[at].sum()) + float(m.effect[two].sum()) + same * float(m.effect[SAME])
+            number += int(self.counts[at].sum()) + len(two) + same
+            last = keys[-1:]
             for w in new:
                 if len(w) > 64:
                     del self.cache[w]
+        z = total / number if number else 0.0
         return float(1 / (1 + np.exp(-np.clip(z + m.bias, -500, 500))))
 
 
