@@ -188,7 +188,7 @@ def test_pieces_of_a_long_text_count_each_pair(monkeypatch):
 
 
 def test_learned_words_are_what_the_counts_say():
-    rows = [(f"grumf{i % 9}x c{i}".encode() if i % 3 == 0 else f"plain d{i} words".encode(), int(i % 3 == 0)) for i in range(90)]
+    rows = [(f"grumf{i // 3 % 9}x c{i}".encode() if i % 3 == 0 else f"plain d{i} words".encode(), int(i % 3 == 0)) for i in range(90)]
     words, stems = toxicity.learned_lexicon(rows)
     assert "grum" in stems and "grumf" in stems and not any(s.startswith("plai") for s in stems) and "plain" not in words
     assert zlib.crc32(b"x") and all(isinstance(w, str) for w in words)
