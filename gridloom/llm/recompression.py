@@ -10,9 +10,10 @@ their words (48 bits beside the key's 64) and finds the earliest. A task's own r
 shuffle, so a passage in a third of all documents sends one occurrence for each map batch and symbol; the task that
 settles these goes through them as a stream and holds only the earliest of each window so far.
 
-Defined results: documents are ordered by doc_id, null last; rows that repeat a doc_id are one document's texts, and
-equal windows at the same doc_id and start are one occurrence, so neither removes the other. A null text has no
-words. Texts of fewer than ``window`` words lose nothing. All other columns are passed on.
+Defined results: documents are ordered by doc_id, null last (as if it were 2**63 - 1, the largest id); rows that repeat a
+doc_id are one document's texts, told apart by 128 bits of the text, and equal windows at the same doc_id and start are one
+occurrence, so neither removes the other. A null text has no words. Texts of fewer than ``window`` words lose nothing; a
+text of any length is taken whole. An empty table gives an empty result. All other columns are passed on.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ _B1 = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xD6E8FEB86659FD93)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _C = np.uint64(0xA0761D6478BD642F)
+TEXT_KEY = np.dtype([("a", np.int64), ("b", np.int64)])  # 128 bits of a text
 
 
 def recompress(words: np.ndarray, rounds: int = ROUNDS) -> dict:
@@ -127,17 +129,26 @@ def _runs(*columns: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1, [len(pos)]])
 
 
+def _text_keys(th: np.ndarray) -> np.ndarray:
+    """Keys of texts as TEXT_KEY; plain integers are its first half."""
+    if th.dtype == TEXT_KEY:
+        return th
+    out = np.zeros(len(th), TEXT_KEY)
+    out["a"] = th
+    return out
+
+
 def _pack(kind: int, key, th, start, n, sym, whole) -> bytes:
     """One message. Columns of its runs, then 48 bits of each window's fingerprint (kind 1; kind 0 are settled repeats)."""
     low = (whole & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     high = ((whole >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
-    return b"".join([np.array([kind, len(key), len(whole)], np.int64).tobytes(), key.astype(np.int64).tobytes(), th.astype(np.int32).tobytes(), start.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), sym.astype(np.uint64).tobytes() if kind else b"", low.tobytes(), high.tobytes()])
+    return b"".join([np.array([kind, len(key), len(whole)], np.int64).tobytes(), key.astype(np.int64).tobytes(), _text_keys(th).tobytes(), start.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), sym.astype(np.uint64).tobytes() if kind else b"", low.tobytes(), high.tobytes()])
 
 
 def _unpack(blob: bytes) -> tuple:
     kind, r, w = np.frombuffer(blob, np.int64, 3)
     at, out = 24, []
-    for dtype, m in ((np.int64, r), (np.int32, r), (np.int32, r), (np.int32, r), (np.uint64, r if kind else 0), (np.uint32, w), (np.uint16, w)):
+    for dtype, m in ((np.int64, r), (TEXT_KEY, r), (np.int32, r), (np.int32, r), (np.uint64, r if kind else 0), (np.uint32, w), (np.uint16, w)):
         out.append(np.frombuffer(blob, dtype, int(m), at))
         at += int(m) * np.dtype(dtype).itemsize
     return int(kind), out
@@ -219,7 +230,7 @@ def _emit(window: int, buckets: int):
             doc = np.repeat(np.arange(len(piece)), counts)
             pos = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
             sym, whole = window_keys(flat, begin[doc] + pos, window)
-            parts.append((np.array([k for k, _, _ in piece], np.int64)[doc], np.array([t for _, t, _ in piece], np.int32)[doc], pos, sym, whole))
+            parts.append((np.array([k for k, _, _ in piece], np.int64)[doc], np.array([t for _, t, _ in piece], TEXT_KEY)[doc], pos, sym, whole))
             piece, piece_words = [], 0
 
         def send():
@@ -228,11 +239,11 @@ def _emit(window: int, buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[lo : lo + 512]], pa.int32()), pa.array([m for _, m in rows[lo : lo + 512]], pa.binary())], schema=schema)
 
         for batch in batches:
-            for text, k, t in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, k, *t in zip(raw_texts(batch.column(0)), *(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 words = (text or b"").split()
                 if len(words) < window:
                     continue
-                piece.append((k, t, _names(words)))
+                piece.append((k, tuple(t), _names(words)))
                 piece_words += len(words)
                 held += len(words)
                 if piece_words >= PIECE_WORDS:
@@ -255,12 +266,12 @@ def _settle(batches):
 
     Whenever as many windows have come as are held (and SETTLE_WINDOWS at least), repeats go out and the earliest of
     each window stay. So memory follows the distinct windows of a partition, not the occurrences of a common passage."""
-    schema = pa.schema([("__k", pa.int64()), ("__th", pa.int32()), ("__r", pa.int64())])
+    schema = pa.schema([("__k", pa.int64()), ("__th", pa.int64()), ("__t2", pa.int64()), ("__r", pa.int64())])
     got: list = []
     held = fresh = 0
 
     def out(key, th, start, n):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(th), pa.array((start.astype(np.int64) << 32) | n.astype(np.int64))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(th["a"].copy()), pa.array(th["b"].copy()), pa.array((start.astype(np.int64) << 32) | n.astype(np.int64))], schema=schema)
 
     def settled():
         nonlocal held, fresh
@@ -268,7 +279,7 @@ def _settle(batches):
         late, rest = _later([sym, whole], key, pos)
         got.append((key[rest], th[rest], pos[rest], sym[rest], whole[rest]))
         held, fresh = len(rest), 0
-        late = late[np.lexsort((pos[late], th[late], key[late]))]
+        late = late[np.lexsort((pos[late], th["b"][late], th["a"][late], key[late]))]
         cut = _runs(key[late], th[late], pos=pos[late])
         if len(late):
             a = late[cut[:-1]]
@@ -311,19 +322,21 @@ def _cut(window: int):
                     n_removed[i] = len(words) - int(stay.sum())
                     words = [w for w, s in zip(words, stay.tolist()) if s]
                 kept.append(b" ".join(words))
-            yield with_columns(batch, ("__spans", "__k", "__th"), kept_text=pa.array(kept, pa.binary()).cast(pa.string()), n_words=pa.array(n_words), n_removed=pa.array(n_removed))
+            yield with_columns(batch, ("__spans",), kept_text=pa.array(kept, pa.binary()).cast(pa.string()), n_words=pa.array(n_words), n_removed=pa.array(n_removed))
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with kept_text (the kept words joined by one space), n_words and n_removed (longs)."""
-    keyed = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__th", F.hash(F.coalesce("text", F.lit(""))))
+    text = F.coalesce("text", F.lit(""))
+    keys = {"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__th": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text)}
+    keyed = docs.withColumns(keys)
     parts = task_count(docs)
-    sent = keyed.select("text", "__k", "__th").mapInArrow(_emit(window, 8 * parts), "__b int, __m binary")
-    late = sent.repartition(parts, "__b").mapInArrow(_settle, "__k long, __th int, __r long")
-    spans = late.groupBy("__k", "__th").agg(F.collect_list("__r").alias("__spans"))
-    joined = keyed.join(spans, ["__k", "__th"], "left").select(*docs.columns, "__spans")
+    sent = keyed.select("text", *keys).mapInArrow(_emit(window, 8 * parts), "__b int, __m binary")
+    late = sent.repartition(parts, "__b").mapInArrow(_settle, "__k long, __th long, __t2 long, __r long")
+    spans = late.groupBy(*keys).agg(F.collect_list("__r").alias("__spans"))
+    joined = keyed.join(spans, list(keys), "left").select(*docs.columns, "__spans")
     return joined.mapInArrow(_cut(window), schema_with(docs, (), kept_text=T.StringType(), n_words=T.LongType(), n_removed=T.LongType()))
 
 
