@@ -109,3 +109,14 @@ def test_only_a_local_master_may_use_a_folder_of_its_own(spark):
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Far)
+
+
+def test_null_ids_keep_their_own_spans(spark):
+    """Texts that 32 bits can't tell apart: each row without an id loses its own words alone."""
+    from gridloom.llm import recompression
+
+    passage = " ".join(f"p{i}" for i in range(22))
+    rows = [(1, passage)] + [(None, f"{passage} {' '.join(f't{i}x{j}' for j in range(i % 7))}".strip()) for i in range(400)] + [(None, " ".join(f"u{i}v{j}" for j in range(24))) for i in range(200)] + [(None, None), (None, "")]
+    got = recompression.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept_text, 256) s").collect()
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(map(tuple, got), key=key) == sorted(recompression.brute_force(rows), key=key)
