@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # The patterns of the token rules.
 NUMBER = r"^[+-]?\d+([.,]\d+)*$"
-WORD = r"^[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё.,:;!?-]*$"
+WORD = r"^[A-Za-zА-Яа-яЁё.,!?;:()\-\']+$"
+PURE_NUMBER = r"^\d+[\.,]?\d*$"
 LONG_LETTERS = "[a-zA-Zа-яА-Я]{4,}"
 SOME_LETTERS = "[a-zA-Zа-яА-Я]{3,}"
 

@@ -170,36 +170,41 @@ def first_below(spark, d):
     return o.withColumn("next", F.lead("o_orderkey").over(w)).select("o_orderkey", F.coalesce("match", "next", F.lit(-1)).alias("below"))
 
 
-SPANS = "sp AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate) // 86400 AS s, epoch(o_orderdate) // 86400 + 30 + CAST(floor(o_totalprice) AS BIGINT) % 300 AS e FROM orders)"
-PAIRS = "pr AS (SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM sp a JOIN sp b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 0.45 * least(a.e - a.s, b.e - b.s))"
+SPANS = "sp AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate) // 86400 AS y, 30 + CAST(floor(o_totalprice) AS BIGINT) % 300 AS h, CAST(floor(o_totalprice) AS BIGINT) % 977 AS x, o_orderkey % 120 AS w FROM orders)"
+PAIRS = """md AS (SELECT o_custkey, CASE WHEN median(w) < 1 THEN 10 ELSE median(w) END AS m FROM sp GROUP BY o_custkey),
+pr AS (SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM sp a JOIN sp b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey JOIN md ON md.o_custkey = a.o_custkey
+WHERE greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) >= 0.45 * least(a.h, b.h) AND CASE WHEN a.x <= b.x THEN b.x - (a.x + a.w) ELSE a.x - (b.x + b.w) END <= 1.5 * m)"""
 
 
 def spans(spark, d) -> DataFrame:
+    """Orders as components: days are heights, the price says where on the line a component stands."""
     day = F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400)
-    return t(spark, d, "orders").select("o_custkey", "o_orderkey", day.alias("s"), (day + 30 + F.floor("o_totalprice") % 300).alias("e"))
+    price = F.floor("o_totalprice")
+    return t(spark, d, "orders").select("o_custkey", "o_orderkey", day.alias("y"), (30 + price % 300).alias("h"), (price % 977).alias("x"), (F.col("o_orderkey") % 120).alias("w"))
 
 
 @query(f"WITH {SPANS}, {PAIRS} SELECT * FROM pr")
 def overlap_pairs(spark, d):
-    return joins.overlapping(spans(spark, d), ["o_custkey"], "o_orderkey", "s", "e", 0.45)
+    return joins.same_line(spans(spark, d), "o_custkey", "o_orderkey", 128.0)
 
 
-@query(f"""WITH RECURSIVE {SPANS}, {PAIRS}, ed AS (SELECT o_custkey, a AS x, b AS y FROM pr UNION ALL SELECT o_custkey, b, a FROM pr),
-reach(c, x, y) AS (SELECT o_custkey, o_orderkey, o_orderkey FROM sp UNION SELECT r.c, r.x, ed.y FROM reach r JOIN ed ON ed.o_custkey = r.c AND ed.x = r.y)
-SELECT CAST(c AS BIGINT) AS o_custkey, x AS o_orderkey, min(y) AS component FROM reach GROUP BY ALL""")
+REACH = """ed AS (SELECT o_custkey, a AS x, b AS y FROM pr UNION ALL SELECT o_custkey, b, a FROM pr),
+reach(c, x, y) AS (SELECT o_custkey, o_orderkey, o_orderkey FROM sp UNION SELECT r.c, r.x, ed.y FROM reach r JOIN ed ON ed.o_custkey = r.c AND ed.x = r.y)"""
+
+
+@query(f"WITH RECURSIVE {SPANS}, {PAIRS}, {REACH} SELECT CAST(c AS BIGINT) AS o_custkey, x AS o_orderkey, min(y) AS component FROM reach GROUP BY ALL")
 def overlap_components(spark, d):
     s = spans(spark, d)
-    return joins.group_components(s, joins.overlapping(s, ["o_custkey"], "o_orderkey", "s", "e", 0.45), "o_custkey", "o_orderkey")
+    return joins.group_components(s, joins.same_line(s, "o_custkey", "o_orderkey", 128.0), "o_custkey", "o_orderkey")
 
 
-@query(f"""WITH RECURSIVE {SPANS}, {PAIRS}, ed AS (SELECT o_custkey, a AS x, b AS y FROM pr UNION ALL SELECT o_custkey, b, a FROM pr),
-reach(c, x, y) AS (SELECT o_custkey, o_orderkey, o_orderkey FROM sp UNION SELECT r.c, r.x, ed.y FROM reach r JOIN ed ON ed.o_custkey = r.c AND ed.x = r.y),
-comp AS (SELECT c, x, min(y) AS component FROM reach GROUP BY ALL)
-SELECT component, CAST(min(s) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e, count(*) AS n FROM comp JOIN sp ON x = o_orderkey GROUP BY component""")
+@query(f"""WITH RECURSIVE {SPANS}, {PAIRS}, {REACH}, comp AS (SELECT c, x AS id, min(y) AS component FROM reach GROUP BY ALL)
+SELECT component, CAST(min(y) AS BIGINT) AS s, CAST(max(y + h) AS BIGINT) AS e, CAST(min(x) AS BIGINT) AS x0, CAST(max(x + w) AS BIGINT) AS x1, count(*) AS n FROM comp JOIN sp ON id = o_orderkey GROUP BY component""")
 def cluster_boxes(spark, d):
     s = spans(spark, d)
-    comp = joins.group_components(s, joins.overlapping(s, ["o_custkey"], "o_orderkey", "s", "e", 0.45), "o_custkey", "o_orderkey")
-    return s.join(comp.select("o_orderkey", "component"), "o_orderkey").groupBy("component").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n"))
+    comp = joins.group_components(s, joins.same_line(s, "o_custkey", "o_orderkey", 128.0), "o_custkey", "o_orderkey")
+    box = [F.min("y").alias("s"), F.max(F.col("y") + F.col("h")).alias("e"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.count("*").alias("n")]
+    return s.join(comp.select("o_orderkey", "component"), "o_orderkey").groupBy("component").agg(*box)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, rr, cc FROM lineitem, LATERAL (SELECT unnest(range(l_linenumber, l_linenumber + CAST(l_quantity AS INT) % 3 + 1)) AS rr), LATERAL (SELECT unnest(range(0, CAST(l_suppkey % 2 AS INT) + 1)) AS cc)")
@@ -305,15 +310,15 @@ def days(spark, d) -> DataFrame:
 
 @query(f"""WITH {DAYS}, z AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a FROM s WINDOW w AS (ORDER BY day)), e AS (SELECT *, coalesce(v > b AND v >= a, false) AS peak, coalesce(v < b AND v <= a, false) AS valley FROM z),
 n AS (SELECT *, last_value(CASE WHEN peak THEN v END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, first_value(CASE WHEN peak THEN v END IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM e)
-SELECT day, peak, valley, CASE WHEN valley THEN round(least(l, r) - v, 4) END AS depth FROM n""")
+SELECT day, peak, valley, CASE WHEN valley AND l IS NOT NULL AND r IS NOT NULL THEN round(greatest(least(l, r) - v, 0), 4) END AS depth FROM n""")
 def peaks_valleys(spark, d):
     peak, valley = runs.extrema(["one"], "day", "v")
     w = Window.partitionBy("one").orderBy("day")
     e = days(spark, d).withColumn("peak", peak).withColumn("valley", valley)
     height = F.when(F.col("peak"), F.col("v"))
     left, right = F.last(height, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(height, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    lower = F.when(left.isNotNull() & right.isNotNull(), F.least(left, right)).otherwise(F.coalesce(left, right))
-    return e.select("day", "peak", "valley", F.when(F.col("valley"), F.round(lower - F.col("v"), 4)).alias("depth"))
+    between = F.col("valley") & left.isNotNull() & right.isNotNull()  # a valley without a peak on either side has no depth
+    return e.select("day", "peak", "valley", F.when(between, F.round(F.greatest(F.least(left, right) - F.col("v"), F.lit(0.0)), 4)).alias("depth"))
 
 
 @query(f"WITH {DAYS} SELECT day, round(sum(v) OVER (ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 3) AS smooth, round(abs(v - lag(v) OVER (ORDER BY day)), 3) AS change FROM s")
@@ -439,12 +444,16 @@ def ink_components(spark, d):
 # -- text
 
 
+def token_list():
+    """The tokens of a text, in its row: no shuffle is needed to count them."""
+    return F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda k: k != "")
+
+
 def words(spark, d) -> DataFrame:
-    tokens_ = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    return t(spark, d, "documents").select("doc_id", F.explode(tokens_).alias("token")).where("token <> ''")
+    return t(spark, d, "documents").select("doc_id", F.explode(token_list()).alias("token"))
 
 
-TOK = "tk AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS token FROM documents), ty AS (SELECT doc_id, token, CASE WHEN regexp_full_match(token, '[+-]?\\d+([.,]\\d+)*') THEN 'number' WHEN regexp_full_match(token, '[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё.,:;!?-]*') THEN 'word' ELSE 'other' END AS kind FROM tk WHERE token <> '')"
+TOK = "tk AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS token FROM documents), ty AS (SELECT doc_id, token, CASE WHEN regexp_full_match(token, '[+-]?\\d+([.,]\\d+)*') THEN 'number' WHEN regexp_full_match(token, '[A-Za-zА-Яа-яЁё.,!?;:()\\-'']+') THEN 'word' ELSE 'other' END AS kind FROM tk WHERE token <> '')"
 
 
 @query(f"WITH {TOK} SELECT kind, count(*) AS n FROM ty GROUP BY kind")
@@ -455,24 +464,29 @@ def token_types(spark, d):
 @query(f"""WITH {TOK}, c AS (SELECT d.doc_id, count(kind) FILTER (kind = 'word') AS w, count(kind) FILTER (kind = 'number') AS n, count(kind) FILTER (kind = 'other') AS o FROM documents d LEFT JOIN ty ON d.doc_id = ty.doc_id GROUP BY d.doc_id)
 SELECT doc_id, w, n, o, CASE WHEN w + n + o = 0 THEN 'none' WHEN w > n AND w >= o THEN 'words' WHEN n > w AND n >= o THEN 'numbers' WHEN w = 0 AND n = 0 AND o > 0 THEN 'other' ELSE 'mixed' END AS dominant FROM c""")
 def dominant_type(spark, d):
-    kind = tokens.token_type(F.col("token"))
-    n = words(spark, d).groupBy("doc_id").agg(F.count_if(kind == "word").alias("w"), F.count_if(kind == "number").alias("n"), F.count_if(kind == "other").alias("o"))
-    full = t(spark, d, "documents").select("doc_id").join(n, "doc_id", "left").fillna(0)
-    return full.withColumn("dominant", tokens.dominant(F.col("w"), F.col("n"), F.col("o")))
+    kinds = F.transform(token_list(), tokens.token_type)
+    count = lambda k: F.size(F.filter("k", lambda x: x == k)).cast("long")
+    n = t(spark, d, "documents").select("doc_id", F.coalesce(kinds, F.array().cast("array<string>")).alias("k")).select("doc_id", count("word").alias("w"), count("number").alias("n"), count("other").alias("o"))
+    return n.withColumn("dominant", tokens.dominant(F.col("w"), F.col("n"), F.col("o")))
 
 
 @query(f"""WITH {TOK}, e AS (SELECT doc_id, token, regexp_replace(token, '[^\\d.,]', '', 'g') AS cl FROM ty),
-c AS (SELECT doc_id, count(*) FILTER (regexp_matches(cl, '\\d')) AS cn, count(*) FILTER (regexp_matches(token, '[a-zA-Zа-яА-Я]{{4,}}') OR length(token) >= 5 AND regexp_matches(token, '[a-zA-Zа-яА-Я]{{3,}}')) AS mw, count(*) FILTER (regexp_full_match(token, '\\d+')) AS pure, count(*) AS n, round(sum(length(regexp_replace(token, '[^0-9]', '', 'g'))) / sum(length(token)), 6) AS ratio FROM e GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) FILTER (regexp_matches(cl, '\\d')) AS cn, count(*) FILTER (regexp_matches(token, '[a-zA-Zа-яА-Я]{{4,}}') OR length(token) >= 5 AND regexp_matches(token, '[a-zA-Zа-яА-Я]{{3,}}')) AS mw, count(*) FILTER (regexp_full_match(trim(token), '\\d+[.,]?\\d*')) AS pure, count(*) AS n, round(sum(length(regexp_replace(token, '[^0-9]', '', 'g'))) / sum(length(token)), 6) AS ratio FROM e GROUP BY doc_id),
 x AS (SELECT doc_id, count(DISTINCT dg) AS dist FROM (SELECT doc_id, unnest(regexp_extract_all(token, '[0-9]')) AS dg FROM ty) GROUP BY doc_id)
 SELECT c.doc_id, cn, coalesce(dist, 0) AS digits, mw, pure, CASE WHEN n = 0 THEN 'EMPTY' WHEN cn >= 5 THEN 'NUMBER' WHEN mw >= 3 THEN 'TEXT' WHEN coalesce(dist, 0) = 1 AND cn >= 3 THEN 'NUMBER' WHEN mw >= 2 AND cn <= 2 THEN 'TEXT' WHEN cn >= 3 AND mw = 0 THEN 'NUMBER' WHEN mw >= 1 AND cn <= 2 THEN 'TEXT' WHEN pure >= 2 AND mw = 0 THEN 'NUMBER' WHEN ratio >= .6 AND mw = 0 THEN 'NUMBER' WHEN ratio <= .3 AND mw >= 1 THEN 'TEXT' WHEN cn >= 2 AND mw = 0 THEN 'NUMBER' ELSE 'TEXT' END AS kind
 FROM c LEFT JOIN x ON c.doc_id = x.doc_id""")
 def cell_types(spark, d):
-    k = F.col("token")
-    clean = tokens.clean_number(k)
-    letters = k.rlike(tokens.LONG_LETTERS) | ((F.length(k) >= 5) & k.rlike(tokens.SOME_LETTERS))
-    digits = F.size(F.array_distinct(F.flatten(F.collect_set(F.regexp_extract_all(k, F.lit("([0-9])"))))))
-    n = words(spark, d).groupBy("doc_id").agg(F.count_if(clean.rlike(r"\d")).alias("cn"), digits.cast("long").alias("digits"), F.count_if(letters).alias("mw"), F.count_if(k.rlike(r"^\d+$")).alias("pure"), F.count("*").alias("__n"), F.round(F.sum(F.length(F.regexp_replace(k, "[^0-9]", ""))) / F.sum(F.length(k)), 6).alias("__r"))
-    return n.select("doc_id", "cn", "digits", "mw", "pure", tokens.cell_type(F.col("cn"), F.col("digits"), F.col("mw"), F.col("pure"), F.col("__r"), F.col("__n")).alias("kind"))
+    x = F.col("k")
+    letters = lambda k: k.rlike(tokens.LONG_LETTERS) | ((F.length(k) >= 5) & k.rlike(tokens.SOME_LETTERS))
+    n = lambda test: F.size(F.filter(x, test)).cast("long")
+    total = lambda f: F.aggregate(x, F.lit(0).cast("long"), lambda s, k: s + f(k))
+    digits = F.size(F.array_distinct(F.flatten(F.transform(x, lambda k: F.regexp_extract_all(k, F.lit("([0-9])")))))).cast("long")
+    counted = t(spark, d, "documents").select("doc_id", token_list().alias("k")).where(F.size("k") > 0).select(
+        "doc_id", n(lambda k: tokens.clean_number(k).rlike(r"\d")).alias("cn"), digits.alias("digits"), n(letters).alias("mw"), n(lambda k: F.trim(k).rlike(tokens.PURE_NUMBER)).alias("pure"),
+        F.size(x).alias("__n"), F.round(total(lambda k: F.length(F.regexp_replace(k, "[^0-9]", ""))) / total(F.length), 6).alias("__r"),
+    )
+    c = F.col
+    return counted.select("doc_id", "cn", "digits", "mw", "pure", tokens.cell_type(c("cn"), c("digits"), c("mw"), c("pure"), c("__r"), c("__n")).alias("kind"))
 
 
 @query("SELECT conv_id, turn, role, bool_or(contains(lower(text), 'the')) OVER (PARTITION BY conv_id) AS promoted FROM conversations")
