@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = r"^cell_r(\d+)_c(\d+)(?:_blob_(\d+(?:_blob_\d+)?))?(?:_word_(\d+))?(?:_char_(\d+)(?:_(\d+))?)?\.png"
@@ -36,3 +36,15 @@ def stem(path: Column) -> Column:
 
 def char_name(r: Column, c: Column, blob: Column, word: Column, char: Column) -> Column:
     return F.concat(F.lit("cell_r"), r.cast("string"), F.lit("_c"), c.cast("string"), F.lit("_blob_"), blob.cast("string"), F.lit("_word_"), word.cast("string"), F.lit("_char_"), F.lpad(char.cast("string"), 2, "0"), F.lit(".png"))
+
+
+def child_name(name: Column, level: str, number: Column, part: Column | None = None) -> Column:
+    """The key of a child: ``_blob_1``, ``_word_1`` (from 1), ``_char_00`` (from 0, two digits), and a split part's number."""
+    digits = F.lpad(number.cast("string"), 2, "0") if level == "char" else number.cast("string")
+    tail = [F.lit(f"_{level}_"), digits, *([F.lit("_"), part.cast("string")] if part is not None else []), F.lit(".png")]
+    return F.concat(F.regexp_replace(name, r"\.png$", ""), *tail)
+
+
+def cell_set(names: DataFrame, column: str = "filename") -> DataFrame:
+    """The distinct (r, c) of the names that are keys."""
+    return names.select(parse_key(F.col(column)).alias("k")).where("k is not null").select("k.r", "k.c").distinct()

@@ -100,3 +100,63 @@ def valley_depth(profile: Column) -> Column:
     depths = F.filter(F.transform(valleys, lambda k: F.when(last(k).isNotNull() & first(k).isNotNull(), F.least(x(last(k)), x(first(k))) - x(k))), lambda v: v > 0)
     few = (F.size(peaks) < 2) | (F.size(valleys) == 0)
     return F.when(hi - lo <= 1e-8, 0.0).when(few, (hi - lo) / (hi + 1e-9)).otherwise(F.coalesce(mean(depths), F.lit(1.0)))
+
+
+def long_runs(states: Column, least: int) -> Column:
+    """The runs of true that have ``least`` elements."""
+    return F.filter(intervals(states), lambda r: r["e"] - r["s"] >= least)
+
+
+def _grown(s: Column, e: Column, n: Column, removed: Column) -> tuple[Column, Column]:
+    return F.when(s > removed, s - removed).otherwise(s), F.when(n - e >= 2, e + 2).when(n - e >= 1, e + 1).otherwise(e)
+
+
+def grown_word(s: Column, e: Column, n: Column, removed: Column) -> Column:
+    """struct(s, e) of a word's columns: moved by the removed rows, two more at the end, two again if narrow; null below 3."""
+    s, e = _grown(s, e, n, removed)
+    e = F.when((e - s <= 7) & (n - e >= 2), e + 2).otherwise(e)
+    return F.when(e - s >= 3, F.struct(s.alias("s"), e.alias("e")))
+
+
+def grown_blob(s: Column, e: Column, n: Column, removed: Column) -> Column:
+    """The same of a line's rows: null below 5, two more at the end if just 5."""
+    s, e = _grown(s, e, n, removed)
+    return F.when(e - s >= 5, F.struct(s.alias("s"), F.when((e - s <= 5) & (n - e >= 2), e + 2).otherwise(e).alias("e")))
+
+
+def moving_average(a: Column, k: int) -> Column:
+    """Same length, zeros beyond the ends."""
+    half = k // 2
+    return F.transform(a, lambda _, i: sum((F.coalesce(F.get(a, i + d), F.lit(0.0)) for d in range(-half, half + 1)), F.lit(0.0)) / k)
+
+
+def valley_counts(profile: Column, deep: float) -> Column:
+    """struct(peaks, valleys, deep, deep_ratio, mean_depth, mean_deep, profile_range) of a profile whose range is made 1.
+
+    A valley without a peak on either side has no depth; a profile that is flat or has fewer than 3 values has zeros."""
+    lo, first = F.array_min(profile), F.get(profile, F.lit(0))
+    flat = (F.size(profile) < 3) | F.forall(profile, lambda x: F.abs(x - first) <= 1e-8 + 1e-5 * F.abs(first))
+    span = F.when(F.array_max(profile) - lo > 1e-9, F.array_max(profile) - lo).otherwise(1.0)
+    x = lambda i: (F.get(profile, i) - lo) / span
+    inner = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(profile) - 2))
+    peaks = F.filter(inner, lambda i: (x(i) > x(i - 1)) & (x(i) >= x(i + 1)))
+    valleys = F.filter(inner, lambda i: (x(i) < x(i - 1)) & (x(i) <= x(i + 1)))
+    left, right = lambda v: F.array_max(F.filter(peaks, lambda p: p < v)), lambda v: F.array_min(F.filter(peaks, lambda p: p > v))
+    depths = F.filter(F.transform(valleys, lambda v: F.when(left(v).isNotNull() & right(v).isNotNull(), F.greatest(F.least(x(left(v)), x(right(v))) - x(v), F.lit(0.0)))), lambda q: q.isNotNull())
+    deeper = F.filter(depths, lambda q: q >= deep)
+    size = lambda a: F.size(a).cast("long")
+    fields = {"peaks": size(peaks), "valleys": size(valleys), "deep": size(deeper), "deep_ratio": F.size(deeper) / F.greatest(F.size(peaks), F.lit(1)), "mean_depth": F.coalesce(mean(depths), F.lit(0.0)), "mean_deep": F.coalesce(mean(deeper), F.lit(0.0)), "profile_range": span}
+    return F.struct(*(F.when(flat, 0).otherwise(c).alias(n) for n, c in fields.items()))
+
+
+def histogram_entropy(a: Column, bins: int) -> Column:
+    """Entropy of a histogram over [0, 1], over that of equal bins; values outside are dropped, null if all are."""
+    kept = F.transform(F.filter(a, lambda x: x.between(0, 1)), lambda x: F.least(F.floor(x * bins), F.lit(bins - 1)))
+    shares = F.transform(F.array_distinct(kept), lambda b: F.size(F.filter(kept, lambda k: k == b)) / F.size(kept))
+    return F.when(F.size(kept) > 0, -total(F.transform(shares, lambda p: p * F.log2(p))) / F.log2(F.lit(bins)))
+
+
+def entropy(a: Column) -> Column:
+    """Shannon entropy of values taken as shares of their sum."""
+    x = F.transform(a, lambda v: v + 1e-12)
+    return -total(F.transform(x, lambda v: (v / total(x)) * F.log2(v / total(x) + 1e-12)))

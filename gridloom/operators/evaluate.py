@@ -27,7 +27,7 @@ def class_scores(matrix: DataFrame, truth: str, predicted: str) -> DataFrame:
 BINS = 4096
 
 
-def _summed_before(each: DataFrame, score: str, columns: list, descending: bool = False) -> DataFrame:
+def summed_before(each: DataFrame, score: str, columns: list, descending: bool = False) -> DataFrame:
     """each (a row for each distinct score), and as __<column> the column's sum over all rows that come before.
 
     No task holds all scores: rows are in order within their bin, and a table of no more than BINS totals is broadcast.
@@ -50,11 +50,19 @@ def _summed_before(each: DataFrame, score: str, columns: list, descending: bool
 def roc(df: DataFrame, label: str, score: str) -> DataFrame:
     """(score, tp, fp) after each distinct score, from the highest down."""
     each = df.groupBy(score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    return _summed_before(each, score, ["p", "q"], descending=True).select(score, (F.col("__p") + F.col("p")).alias("tp"), (F.col("__q") + F.col("q")).alias("fp"))
+    return summed_before(each, score, ["p", "q"], descending=True).select(score, (F.col("__p") + F.col("p")).alias("tp"), (F.col("__q") + F.col("q")).alias("fp"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties averaged. Counts are taken for each distinct score first."""
     each = df.groupBy(score).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    sums = _summed_before(each, score, ["n"]).withColumn("rank", F.col("__n") + (F.col("n") + 1) / 2).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    sums = summed_before(each, score, ["n"]).withColumn("rank", F.col("__n") + (F.col("n") + 1) / 2).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
+
+
+def averages(scores: DataFrame) -> DataFrame:
+    """(average, precision, recall, f1) of class_scores: macro (each class counts alike) and weighted (by support)."""
+    names = ("precision", "recall", "f1")
+    macro = scores.agg(*(F.avg(n).alias(n) for n in names)).select(F.lit("macro").alias("average"), *names)
+    weighted = scores.agg(*(F.try_divide(F.sum(F.col(n) * F.col("support")), F.sum("support")).alias(n) for n in names)).select(F.lit("weighted").alias("average"), *names)
+    return macro.unionByName(weighted)

@@ -39,6 +39,46 @@ def pad(px: Column, h: int, w: int, to_h: int, to_w: int, value: float) -> Colum
     return F.concat(*rows)
 
 
+def clamped_crop(px: Column, h: int, w: int, x: Column, y: Column, cw: Column, ch: Column, margin: int) -> Column:
+    """The box (x, y, cw, ch) with a margin, cut off at the raster's edges; empty if nothing of it lies inside."""
+    x0, x1 = F.greatest(x - margin, F.lit(0)), F.least(x + cw + margin, F.lit(w))
+    y0, y1 = F.greatest(y - margin, F.lit(0)), F.least(y + ch + margin, F.lit(h))
+    return F.filter(px, lambda _, k: (k % w >= x0) & (k % w < x1) & (F.floor(k / w) >= y0) & (F.floor(k / w) < y1))
+
+
+def pad_or_crop(px: Column, h: Column, w: Column, size: int, white: float) -> Column:
+    """struct(px, h): cropped about the middle where it is larger than ``size``; the width alone is padded, with the smaller
+    half on the left."""
+    left, top = F.greatest(F.floor((w - size) / 2), F.lit(0)), F.greatest(F.floor((h - size) / 2), F.lit(0))
+    cw, ch = F.least(w, F.lit(size)).cast("int"), F.least(h, F.lit(size)).cast("int")
+    before = F.floor((size - cw) / 2).cast("int")
+    row = lambda i: F.concat(F.array_repeat(F.lit(white), before), F.slice(px, ((top + i) * w + left + 1).cast("int"), cw), F.array_repeat(F.lit(white), size - cw - before))
+    return F.struct(F.flatten(F.transform(F.sequence(F.lit(0), ch - 1), row)).alias("px"), ch.alias("h"))
+
+
+def mask_or(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x | y)
+
+
+def mask_and(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x & y)
+
+
+def unit(grey: Column) -> Column:
+    """Greys of 0 to 255 as 0 to 1."""
+    return F.transform(grey, lambda x: x / 255)
+
+
+def oversized(h: Column, w: Column) -> Column:
+    """Whether a glyph of this size may be two: 7 pixels one way and wider than high."""
+    return ((h >= 7) | (w >= 7)) & F.coalesce(F.try_divide(w, h) > 1, F.lit(False))
+
+
+def sound_box(least: int) -> Column:
+    """Whether x_min, x_max, y_min, y_max is a box with ``least`` pixels each way."""
+    return (F.col("x_max") - F.col("x_min") >= least) & (F.col("y_max") - F.col("y_min") >= least)
+
+
 def flip_symmetry(px: Column, h: int, w: int) -> Column:
     """Mean over both axes of 1 - mean |image - flipped|."""
     at = F.sequence(F.lit(0), F.lit(h * w - 1))

@@ -21,6 +21,37 @@ def runs(df: DataFrame, keys: list[str], order: str, state: Column, least: int =
     return groups.groupBy(*keys, "__g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("__g")
 
 
+def _merged(found: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Runs (keys, n, s, e), whose ends grow with their starts, with those fewer than ``gap`` apart made one."""
+    w = Window.partitionBy(*keys).orderBy("s")
+    new = F.coalesce((F.col("s") - F.lag("e").over(w) >= gap).cast("int"), F.lit(1))
+    groups = found.withColumn("__new", new).withColumn("__g", F.sum("__new").over(w))
+    return groups.groupBy(*keys, "n", "__g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("__g")
+
+
+def _islands(df: DataFrame, keys: list[str], order: str, state) -> DataFrame:
+    """(keys, n, s, e) runs of rows for which state(value, greatest value of the keys) holds; ``order`` counts from 0."""
+    every = Window.partitionBy(*keys)
+    marked = df.withColumn("n", F.count("*").over(every)).withColumn("__top", F.max("value").over(every)).where(state(F.col("value"), F.col("__top")))
+    island = marked.withColumn("__g", F.col(order) - F.row_number().over(every.orderBy(order)))
+    return island.groupBy(*keys, "n", "__g").agg(F.min(order).alias("s"), (F.max(order) + 1).alias("e")).drop("__g")
+
+
+def row_runs(df: DataFrame, keys: list[str], order: str, limit: float = 0.9, least: int = 2, gap: int = 1) -> DataFrame:
+    """(keys, n, s, e): lines of a cell, from (keys, order, value). Runs of rows below the limit, each taking one light row
+    before it (from the third row on) and one after it. The signal is divided by its maximum if that is below 1."""
+    found = _islands(df, keys, order, lambda v, top: F.when(top < 1, v / top).otherwise(v) < limit)
+    wide = found.select(*keys, "n", F.when(F.col("s") > 2, F.col("s") - 1).otherwise(F.col("s")).alias("s"), F.least(F.col("e") + 1, F.col("n")).alias("e"))
+    return _merged(wide.where(F.col("e") - F.col("s") >= least), keys, gap)
+
+
+def column_runs(df: DataFrame, keys: list[str], order: str, limit: float = 0.01, least: int = 3, gap: int = 1) -> DataFrame:
+    """(keys, n, s, e): words of a line. Runs of columns above the limit; the signal is divided by its maximum if that is
+    above 1."""
+    found = _islands(df, keys, order, lambda v, top: F.when(top > 1, v / top).otherwise(v) > limit)
+    return _merged(found.where(F.col("e") - F.col("s") >= least), keys, gap)
+
+
 def chained_clusters(df: DataFrame, keys: list[str], value: str, tie: list[str], tolerance: float, name: str = "cluster") -> DataFrame:
     """df with a group number: a new group where a value is more than the tolerance above the one before."""
     w = Window.partitionBy(*keys).orderBy(value, *tie)
