@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import keys, signals, tokens
-from gridloom.operators import columns, evaluate, raster, runs
+from gridloom.operators import columns, evaluate, models, raster, runs, spectra, vision
 from gridloom.plans.catalog import EV, JUDGED, MATRIX, PX, glyphs, judged, query, r6, t
 
 # -- runs, with a signal for each user: 150 of them, whose greatest value is below or above 1
@@ -413,3 +414,31 @@ def state_changes(spark, d):
     changes = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(a) - 1, F.lit(1))), lambda i: (F.get(a, i) > 50) != (F.get(a, i - 1) > 50)))
     e = t(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
     return e.select("user_id", F.col("s.value").alias("v")).select("user_id", changes.cast("long").alias("changes"))
+
+
+# -- kernels and models
+
+
+@query()
+def edge_densities(spark, d):
+    """Canny and Sobel measures of each raster (tested against plain loops over the table)."""
+    kernel = lambda a: spectra.edge_density(((a + 0.6) / 1.2).clip(0, 1))
+    return glyphs(spark, d).select("vec_id", vision.kernel_column(F.col("px"), 8, 8, spectra.EDGE_DENSITY, kernel).alias("f")).select("vec_id", "f.*")
+
+
+@query()
+def contour_fourier(spark, d):
+    """Spectrum of the largest contour's corners (tested against the transform by definition)."""
+    return glyphs(spark, d).select("vec_id", vision.kernel_column(F.col("px"), 8, 8, spectra.CONTOUR, lambda a: spectra.contour_spectrum(a > 0.02)).alias("f")).select("vec_id", "f.*")
+
+
+@query("""WITH u AS (SELECT vec_id, label, k, CAST(embedding[k] AS DOUBLE) AS v FROM (SELECT *, unnest(range(1, 65)) AS k FROM embeddings)), m AS (SELECT label, k, avg(v) AS m FROM u GROUP BY ALL),
+s AS (SELECT u.vec_id, m.label AS c, round(sum(u.v * m - m * m / 2), 9) AS s FROM u JOIN m ON u.k = m.k GROUP BY ALL), b AS (SELECT vec_id, CAST(arg_min(c, (-s, c)) AS INT) AS predicted, max(s) AS best FROM s WHERE vec_id % 10 <> 3 GROUP BY vec_id)
+SELECT e.vec_id, predicted, round(coalesce(best, 0), 5) AS confidence, CASE WHEN e.vec_id % 10 = 3 THEN '63 values' END AS error FROM embeddings e LEFT JOIN b ON b.vec_id = e.vec_id""")
+def batch_scores(spark, d):
+    """A linear model (the class means) over batches of rasters; rasters of a wrong size give error rows."""
+    means = glyphs(spark, d).groupBy("label").agg(F.array(*(F.avg(F.get("px", F.lit(k))) for k in range(64))).alias("m")).orderBy("label").collect()  # ten classes
+    w = np.array([r["m"] for r in means]).T
+    df = glyphs(spark, d).select("vec_id", F.when(F.col("vec_id") % 10 == 3, F.slice("px", 1, 63)).otherwise(F.col("px")).alias("px"))
+    out = models.scored_batches(df, [(w, -(w * w).sum(0) / 2, "none")], "px", 64)
+    return out.select("vec_id", "predicted", F.round("confidence", 5).alias("confidence"), "error")

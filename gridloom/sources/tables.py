@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.keys import basename, parse_key
+from gridloom.functions.keys import basename, cell_set, parse_key
+from gridloom.operators.vision import resize_area, resize_cubic
 
 PREDICTIONS = "filename string, predicted_class int, confidence double"
 LABELS = "filename string, true_digit int"
@@ -17,6 +20,47 @@ def images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     return df.select(basename(F.col("image.origin")).alias("filename"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
+def sorted_images(spark: SparkSession, path: str, extensions: tuple = ("png", "jpg", "jpeg", "bmp")) -> DataFrame:
+    """images of several kinds, in the order of their names."""
+    return images(spark, path, "*.{" + ",".join(extensions) + "}").orderBy("filename")
+
+
+def pixels(spark: SparkSession, path: str, size: tuple | None = None, glob: str = "*.png", unit: bool = True) -> DataFrame:
+    """(filename, h, w, px): grey rasters, row by row, in 0..1 (or 0..255), resized to ``size`` (h, w) on the way if given.
+
+    One channel is taken as it is; of three or four (the fourth says how opaque a pixel is, and is left out) the usual
+    weights of blue, green and red make the grey."""
+
+    @F.pandas_udf("struct<h:int,w:int,px:array<double>>")
+    def read(h: pd.Series, w: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b, c, raw in zip(h, w, channels, data):
+            grey = np.frombuffer(raw, np.uint8).reshape(a, b, c).astype(float)
+            grey = grey[:, :, 0] if c == 1 else np.rint(grey[:, :, :3] @ np.array([0.114, 0.587, 0.299]))
+            if size and (a, b) != size:
+                grey = np.clip((resize_area if size[0] <= a and size[1] <= b else resize_cubic)(grey, *size), 0, 255)
+            rows.append((*grey.shape, (grey / 255 if unit else grey).ravel().tolist()))
+        return pd.DataFrame(rows, columns=["h", "w", "px"])
+
+    return images(spark, path, glob).select("filename", read("h", "w", "channels", "data").alias("r")).select("filename", "r.h", "r.w", "r.px")
+
+
+def image_cells(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
+    """The distinct (r, c) among the names of a folder's images."""
+    return cell_set(image_keys(spark, path, glob).select("filename"))
+
+
+def indexed_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """A table whose first column holds the row labels: (row_label, columns)."""
+    return spark.read.schema(f"row_label string, {columns}").option("header", True).csv(path)
+
+
+def same_columns(a: DataFrame, b: DataFrame) -> dict:
+    """The columns that only one of two tables has, in order, and whether all are the same."""
+    only = lambda x, y: [c for c in x.columns if c not in y.columns]
+    return {"same": a.columns == b.columns, "first": only(a, b), "second": only(b, a)}
+
+
 def image_keys(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     """Keys of a folder's images; contents aren't read."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(basename(F.col("path")).alias("filename"))
