@@ -1,14 +1,19 @@
 """Substring dedup by recompression: removes every word covered by a window of ``window`` words that also starts earlier.
 
 Words become 64-bit names. Rounds of recompression then name maximal runs of one symbol, and pairs whose left and
-right symbols fall on opposite sides of a partition of all names. A name is a fingerprint of the words below it, so
-it is the same in every task without a dictionary. With each symbol goes the extent of words that its existence
-depends on; a symbol whose extent lies inside a window exists in every occurrence of that window, at the same place.
-Each window is keyed by one such symbol (longest first, then by name, then leftmost), or, if it has none, by a second
-fingerprint of its own words. Windows with equal keys meet in one task, which verifies them by a fingerprint of all
-their words (48 bits beside the key's 64) and finds the earliest. A task's own repeats are settled before the
-shuffle, so a passage in a third of all documents sends one occurrence for each map batch and symbol; the task that
-settles these goes through them as a stream and holds only the earliest of each window so far.
+right symbols fall on opposite sides of a partition of all names. A name is a fingerprint of the words below it, so it
+is the same in every task: the naming is global without a dictionary that grows with the corpus. With each symbol goes
+the extent of words that its existence depends on; a symbol whose extent lies inside a window exists in every occurrence
+of that window, at the same place. So each window is keyed by one symbol inside it: the longest of the last round, then by
+name, then the leftmost; if it has none, one of the first round; if its words are all one, the run of them.
+
+Three Spark rounds follow. In the first, each map batch asks, once for each symbol that keys a window, whether the symbol
+stands anywhere else; all that ask for one symbol meet, and the rows whose symbols are shared are told. In the second, rows
+send only the windows that a shared symbol keys, with their words; windows of one symbol meet in one task, which groups
+them by fingerprint, compares the words themselves with those of the group's first, and finds the earliest. In the third,
+each row is cut by the spans it was told of. A batch's own repeats are found before either shuffle, so a passage in a
+third of all documents sends one message for each batch and symbol; the task that settles these goes through them as a
+stream and holds only the earliest of each window so far.
 
 Defined results: documents are ordered by doc_id, null last (as if it were 2**63 - 1, the largest id); rows that repeat a
 doc_id are one document's texts, told apart by 128 bits of the text, and equal windows at the same doc_id and start are one
@@ -93,32 +98,62 @@ def _best_in_ranges(priority: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.
     return out
 
 
+def window_symbols(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows that start at ``at``: the name of the symbol that keys it, and where that symbol starts."""
+    key, place = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
+    left = np.arange(len(at))
+    for rounds in (ROUNDS, 1):
+        if len(left):
+            s = recompress(words, rounds)
+            lo, hi = np.searchsorted(s["left"], at[left], "left"), np.searchsorted(s["right"], at[left] + window, "right")
+            some = np.flatnonzero(lo < hi)
+            length = np.minimum(s["end"] - s["start"], 63).astype(np.uint64)
+            best = _best_in_ranges((length << np.uint64(58)) | (s["name"] >> np.uint64(6)), lo[some], hi[some])
+            key[left[some]], place[left[some]] = s["name"][best], s["start"][best]
+            left = left[lo >= hi]
+    if len(left):  # whatever is left: the names of its words in order, which for a run of one word is the run's own
+        other = np.zeros(len(left), np.uint64)
+        for k in range(window):
+            other = mix(other * _B2 + words[at[left] + k])
+        key[left], place[left] = other ^ _C, at[left]
+    return key, place
+
+
 def window_keys(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For the windows that start at ``at``: the key (the chosen symbol's name) and the fingerprint of all its words."""
-    s = recompress(words)
+    return window_symbols(words, at, window)[0], fingerprints(words, at, window)
+
+
+def fingerprints(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(words), _B1, np.uint64))])
     back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(words), _INV, np.uint64))])
     sums = np.concatenate([[np.uint64(0)], np.cumsum(words * power[:-1])])
-    whole = mix((sums[at + window] - sums[at]) * back[at])
-    lo = np.searchsorted(s["left"], at, "left")
-    hi = np.searchsorted(s["right"], at + window, "right")
-    key = np.empty(len(at), np.uint64)
-    some = np.flatnonzero(lo < hi)
-    length = np.minimum(s["end"] - s["start"], 63).astype(np.uint64)
-    key[some] = s["name"][_best_in_ranges((length << np.uint64(58)) | (s["name"] >> np.uint64(6)), lo[some], hi[some])]
-    none = np.flatnonzero(lo >= hi)
-    if len(none):
-        other = np.zeros(len(none), np.uint64)
-        for k in range(window):
-            other = mix(other * _B2 + words[at[none] + k])
-        key[none] = other ^ _C
-    return key, whole
+    return mix((sums[at + window] - sums[at]) * back[at])
 
 
 def _names(words: list) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(w, 7) or 1 for w in words), np.uint64, len(words))
 
 
+class Words:
+    """Words by number: numbers are equal for equal words only, so that words are compared as numbers."""
+
+    def __init__(self):
+        self.number: dict = {}
+        self.words: list = []
+        self.names = np.zeros(0, np.uint64)
+
+    def numbers(self, words: list) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.words += new
+            if len(self.words) > len(self.names):
+                self.names = np.concatenate([self.names, np.zeros(len(self.words), np.uint64)])
+            self.names[len(self.words) - len(new) : len(self.words)] = _names(new)
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+
+
 def _runs(*columns: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Starts of the runs of consecutive pos in which all columns stay the same, then the length."""
     if not len(pos):
@@ -151,7 +186,7 @@ def _unpack(blob: bytes) -> tuple:
     for dtype, m in ((np.int64, r), (TEXT_KEY, r), (np.int32, r), (np.int32, r), (np.uint64, r if kind else 0), (np.uint32, w), (np.uint16, w)):
         out.append(np.frombuffer(blob, dtype, int(m), at))
         at += int(m) * np.dtype(dtype).itemsize
-    return int(kind), out
+    return int(kind), out, at
 
 
 def _same_first(c: np.ndarray) -> np.ndarray:
@@ -195,10 +230,166 @@ def _columns(parts: list) -> list:
     return out
 
 
-def _emit(window: int, buckets: int):
+def verified_later(sym: np.ndarray, whole: np.ndarray, key: np.ndarray, pos: np.ndarray, at: np.ndarray, numbers: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """_later of windows whose words are numbers[at : at + window]: the words decide, the fingerprints only sort."""
+    identity = [sym, whole]
+    while True:
+        late, rest = _later(identity, key, pos)
+        if not len(late):
+            return late, rest
+        mixed = identity[0] * _B1
+        for x in identity[1:]:
+            mixed = mix(mixed ^ x) * _B2
+        order = rest[np.argsort(mixed[rest], kind="stable")]
+        first = order[np.searchsorted(mixed[order], mixed[late])]
+        differ = np.zeros(len(late), bool)
+        for k in range(window):
+            differ |= numbers[at[late] + k] != numbers[at[first] + k]
+        if not differ.any():
+            return late, rest
+        # different words with one fingerprint: number the contents of these groups, and tell windows apart by that too
+        exact, seen = np.zeros(len(key), np.uint64), {}
+        for i in np.flatnonzero(np.isin(mixed, mixed[late[differ]])).tolist():
+            exact[i] = seen.setdefault(numbers[at[i] : at[i] + window].tobytes(), len(seen) + 1)
+        identity = [sym, whole, exact]
+
+
+class Pieces:
+    """Texts of rows, gathered into pieces of PIECE_WORDS words; ``take`` gets each piece as (rows, names, row of each
+    window, its start in the text, its start in the piece, numbers)."""
+
+    def __init__(self, window: int, take):
+        self.window, self.take, self.vocabulary, self.rows, self.size, self.held = window, take, Words(), [], 0, 0
+
+    def add(self, text: bytes | None, row) -> None:
+        words = (text or b"").split()
+        if len(words) >= self.window:
+            self.rows.append((row, self.vocabulary.numbers(words)))
+            self.size += len(words)
+            self.held += len(words)
+            if self.size >= PIECE_WORDS:
+                self.close()
+
+    def close(self) -> None:
+        if not self.rows:
+            return
+        sizes = np.array([len(n) for _, n in self.rows])
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) + 1
+        numbers = np.full(int(sizes.sum()) + len(sizes) + 1, -1, np.int32)
+        numbers[np.delete(np.arange(len(numbers)), np.append(begin - 1, len(numbers) - 1))] = np.concatenate([n for _, n in self.rows])
+        names = np.where(numbers < 0, np.uint64(0), self.vocabulary.names[numbers])
+        counts = sizes - self.window + 1
+        doc = np.repeat(np.arange(len(sizes)), counts)
+        pos = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+        self.take([r for r, _ in self.rows], names, doc, pos, begin[doc] + pos, numbers)
+        self.rows, self.size = [], 0
+
+    def forget(self) -> None:
+        self.vocabulary, self.held = Words(), 0
+
+
+def _sorted_parts(bucket: np.ndarray):
+    """(bucket, indices) of each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else [0]
+    for lo, hi in zip(edges, edges[1:]):
+        yield int(bucket[order[lo]]), order[lo:hi]
+
+
+def _messages(rows):
+    schema = pa.schema([("__b", pa.int32()), ("__m", pa.binary())])
+    rows = list(rows)
+    for lo in range(0, len(rows), 512):
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[lo : lo + 512]], pa.int32()), pa.array([m for _, m in rows[lo : lo + 512]], pa.binary())], schema=schema)
+
+
+def _bucket_of(sym: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(sym) % np.uint64(buckets)).astype(np.int64)
+
+
+def _ask(window: int, buckets: int):
+    """First round: which of the symbols that key a window does the batch hold, and where (kind 1: symbol, row, whether it
+    is known to be shared; kind 0: rows whose symbols the batch itself shows to be shared)."""
+
     def flush(parts):
-        key, th, pos, sym, whole = _columns(parts)
-        late, rest = _later([sym, whole & np.uint64(0xFFFFFFFFFFFF)], key, pos)
+        sym, row, place = _columns(parts)
+        order = np.lexsort((place, row, sym))
+        sym, row, place = sym[order], row[order], place[order]
+        fresh = np.concatenate([[True], (sym[1:] != sym[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1])])
+        sym, row = sym[fresh], row[fresh]
+        shared = _same_first(sym)
+        one = np.concatenate([[True], sym[1:] != sym[:-1]])
+        told = np.flatnonzero(shared & np.concatenate([[True], (sym[1:] != sym[:-1]) | (row[1:] != row[:-1])]))
+        if len(told):
+            yield int(row[told[0]] % np.uint64(buckets)), b"".join([np.array([0, len(told)], np.int64).tobytes(), sym[told].tobytes(), row[told].tobytes()])
+        sym, row, shared = sym[one], row[one], shared[one]
+        for b, i in _sorted_parts(_bucket_of(sym, buckets)):
+            yield b, b"".join([np.array([1, len(i)], np.int64).tobytes(), sym[i].tobytes(), row[i].tobytes(), shared[i].tobytes()])
+
+    def run(batches):
+        parts: list = []
+
+        def take(rows, names, doc, pos, at, numbers):
+            sym, place = window_symbols(names, at, window)
+            place = place - (at - pos)  # from the text's begin
+            new = np.concatenate([[True], (sym[1:] != sym[:-1]) | (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
+            parts.append((sym[new], np.array(rows, np.int64).view(np.uint64)[doc[new]], place[new]))
+
+        pieces = Pieces(window, take)
+        for batch in batches:
+            names = batch.schema.names
+            for text, row in zip(raw_texts(batch.column(names.index("text"))), batch.column(names.index("__row")).to_pylist()):
+                pieces.add(text, row)
+                if pieces.held >= BATCH_WORDS:
+                    pieces.close()
+                    yield from _messages(flush(parts))
+                    pieces.forget()
+        pieces.close()
+        if parts:
+            yield from _messages(flush(parts))
+
+    return run
+
+
+def _tell(batches):
+    """All questions about some symbols -> (__row, __sym) for each row of a symbol that stands in more than one place."""
+    schema = pa.schema([("__row", pa.int64()), ("__sym", pa.int64())])
+    asked: list = []
+
+    def out(row, sym):
+        for lo in range(0, len(row), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(row[lo : lo + 65536].view(np.int64)), pa.array(sym[lo : lo + 65536].view(np.int64))], schema=schema)
+
+    for batch in batches:
+        for blob in batch.column(1).to_pylist():
+            kind, n = np.frombuffer(blob, np.int64, 2)
+            sym, row = np.frombuffer(blob, np.uint64, n, 16), np.frombuffer(blob, np.uint64, n, 16 + 8 * n)
+            if kind:
+                asked.append((sym, row, np.frombuffer(blob, bool, n, 16 + 16 * n)))
+            else:
+                yield from out(row, sym)
+    if asked:
+        sym, row, known = _columns(asked)
+        order = np.argsort(sym, kind="stable")
+        sym, row, known = sym[order], row[order], known[order]
+        start = np.flatnonzero(np.concatenate([[True], sym[1:] != sym[:-1]]))
+        count = np.diff(np.append(start, len(sym)))
+        shared = np.repeat((count > 1) | np.logical_or.reduceat(known, start), count) & ~known
+        yield from out(row[shared], sym[shared])
+
+
+def _claim(window: int, buckets: int):
+    """Second round: the windows that a shared symbol keys, with their words (kind 2), and the batch's own repeats (kind 0)."""
+
+    def flush(parts, vocabulary):
+        key, th, pos, at, sym, whole, numbers, shift = [], [], [], [], [], [], [], 0
+        for k, t, p, a, s, w, n in parts:
+            for held, x in zip((key, th, pos, at, sym, whole, numbers), (k, t, p, a + shift, s, w, n)):
+                held.append(x)
+            shift += len(n)
+        parts.clear()
+        key, th, pos, at, sym, whole, numbers = (np.concatenate(x) for x in (key, th, pos, at, sym, whole, numbers))
+        late, rest = verified_later(sym, whole, key, pos, at, numbers, window)
         late.sort()
         cut = _runs(key[late], th[late], pos=pos[late])
         a = late[cut[:-1]] if len(late) else late
@@ -206,96 +397,101 @@ def _emit(window: int, buckets: int):
         if len(a):
             yield int(key[a[0]]) % buckets, _pack(0, key[a], th[a], pos[a], np.diff(cut), none, none)
         cut = _runs(key[rest], th[rest], sym[rest], pos=pos[rest])
-        first, n = rest[cut[:-1]] if len(rest) else rest, np.diff(cut)
-        bucket = (mix(sym[first]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else [0]
-        for lo, hi in zip(edges, edges[1:]):
-            r = order[lo:hi]
+        first, n = (rest[cut[:-1]] if len(rest) else rest), np.diff(cut)
+        word = vocabulary.words.__getitem__
+        for b, r in _sorted_parts(_bucket_of(sym[first], buckets)):
             f, m = first[r], n[r]
-            flat = np.repeat(cut[r] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-            yield int(bucket[r[0]]), _pack(1, key[f], th[f], pos[f], m, sym[f], whole[rest[flat]])
+            text = b" ".join(b" ".join(map(word, numbers[x : x + c + window - 1].tolist())) for x, c in zip(at[f].tolist(), m.tolist()))
+            yield b, _pack(2, key[f], th[f], pos[f], m, sym[f], none) + text
 
     def run(batches):
-        schema = pa.schema([("__b", pa.int32()), ("__m", pa.binary())])
-        piece, piece_words, parts, held = [], 0, [], 0
-
-        def close_piece():
-            nonlocal piece, piece_words
-            sizes = np.array([len(w) for _, _, w in piece])
-            flat = np.zeros(int(sizes.sum()) + len(piece) + 1, np.uint64)
-            begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) + 1
-            flat[np.delete(np.arange(len(flat)), np.append(begin - 1, len(flat) - 1))] = np.concatenate([w for _, _, w in piece])
-            counts = sizes - window + 1
-            doc = np.repeat(np.arange(len(piece)), counts)
-            pos = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-            sym, whole = window_keys(flat, begin[doc] + pos, window)
-            parts.append((np.array([k for k, _, _ in piece], np.int64)[doc], np.array([t for _, t, _ in piece], TEXT_KEY)[doc], pos, sym, whole))
-            piece, piece_words = [], 0
-
-        def send():
-            rows = list(flush(parts))
-            for lo in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[lo : lo + 512]], pa.int32()), pa.array([m for _, m in rows[lo : lo + 512]], pa.binary())], schema=schema)
-
+        parts: list = []
+
+        def take(rows, names, doc, pos, at, numbers):
+            sym, _ = window_symbols(names, at, window)
+            mark = lambda s, d: mix(s + d.astype(np.uint64) * _B2)
+            told = np.concatenate([mark(np.array(r[1], np.int64).view(np.uint64), np.full(len(r[1]), d)) for d, r in enumerate(rows)])
+            some = np.flatnonzero(np.isin(mark(sym, doc), told))
+            if len(some):
+                d = doc[some]
+                key, th = np.array([r[0][0] for r in rows], np.int64), np.array([r[0][1:] for r in rows], TEXT_KEY)
+                parts.append((key[d], th[d], pos[some], at[some], sym[some], fingerprints(names, at[some], window), numbers))
+
+        pieces = Pieces(window, take)
         for batch in batches:
-            for text, k, *t in zip(raw_texts(batch.column(0)), *(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                words = (text or b"").split()
-                if len(words) < window:
-                    continue
-                piece.append((k, tuple(t), _names(words)))
-                piece_words += len(words)
-                held += len(words)
-                if piece_words >= PIECE_WORDS:
-                    close_piece()
-                if held >= BATCH_WORDS:
-                    if piece:
-                        close_piece()
-                    yield from send()
-                    held = 0
-        if piece:
-            close_piece()
+            column = lambda n: batch.column(batch.schema.names.index(n))
+            for text, *row, told in zip(raw_texts(column("text")), *(column(n).to_pylist() for n in ("__k", "__th", "__t2", "__syms"))):
+                pieces.add(text, (tuple(row), told))
+                if pieces.held >= BATCH_WORDS:
+                    pieces.close()
+                    if parts:
+                        yield from _messages(flush(parts, pieces.vocabulary))
+                    pieces.forget()
+        pieces.close()
         if parts:
-            yield from send()
+            yield from _messages(flush(parts, pieces.vocabulary))
 
     return run
 
 
-def _settle(batches):
-    """All messages of some buckets -> runs (__k, __th, start, n) of windows that start earlier elsewhere.
+def _settle(batches, window: int = WINDOW):
+    """All messages of some buckets -> runs (__k, __th, __t2, start and n) of windows that start earlier elsewhere.
 
     Whenever as many windows have come as are held (and SETTLE_WINDOWS at least), repeats go out and the earliest of
-    each window stay. So memory follows the distinct windows of a partition, not the occurrences of a common passage."""
+    each window stay. So memory follows the distinct windows of a partition, not the occurrences of a common passage.
+    Windows that come with their words (kind 2) are compared by these, others (kind 1) by 48 bits beside the symbol."""
     schema = pa.schema([("__k", pa.int64()), ("__th", pa.int64()), ("__t2", pa.int64()), ("__r", pa.int64())])
     got: list = []
+    vocabulary, numbers = Words(), [np.zeros(0, np.int32)]
     held = fresh = 0
 
     def out(key, th, start, n):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(th["a"].copy()), pa.array(th["b"].copy()), pa.array((start.astype(np.int64) << 32) | n.astype(np.int64))], schema=schema)
 
     def settled():
-        nonlocal held, fresh
-        key, th, pos, sym, whole = _columns(got)
-        late, rest = _later([sym, whole], key, pos)
-        got.append((key[rest], th[rest], pos[rest], sym[rest], whole[rest]))
-        held, fresh = len(rest), 0
+        nonlocal held, fresh, vocabulary
+        key, th, pos, sym, whole, at = _columns(got)
+        flat = np.concatenate(numbers)
+        late, rest = verified_later(sym, whole, key, pos, at, flat, window) if len(flat) else _later([sym, whole], key, pos)
         late = late[np.lexsort((pos[late], th["b"][late], th["a"][late], key[late]))]
         cut = _runs(key[late], th[late], pos=pos[late])
         if len(late):
             a = late[cut[:-1]]
             for lo in range(0, len(a), 65536):
                 yield out(key[a[lo : lo + 65536]], th[a[lo : lo + 65536]], pos[a[lo : lo + 65536]], np.diff(cut)[lo : lo + 65536])
+        if len(flat):  # the words of the windows that stay, numbered anew
+            spans = _runs(pos=at[rest])
+            first, n = at[rest[spans[:-1]]], np.diff(spans)
+            kept = np.repeat(first, n + window - 1) + _steps(n + window - 1)
+            old = vocabulary.words
+            used, again = np.unique(flat[kept], return_inverse=True)
+            vocabulary = Words()
+            numbers[:] = [vocabulary.numbers([old[i] for i in used.tolist()])[again].astype(np.int32)] if len(used) else [flat[:0]]
+            at = np.zeros(len(key), np.int64)
+            at[rest] = np.repeat(np.concatenate([[0], np.cumsum(n + window - 1)[:-1]]), n) + _steps(n)
+        got.append((key[rest], th[rest], pos[rest], sym[rest], whole[rest], at[rest]))
+        held, fresh = len(rest), 0
 
     for batch in batches:
         for blob in batch.column(1).to_pylist():
-            kind, (key, th, start, n, sym, low, high) = _unpack(blob)
-            if kind:
-                got.append((np.repeat(key, n), np.repeat(th, n), np.repeat(start, n) + _steps(n), np.repeat(sym, n), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))))
-                fresh += len(low)
-                if fresh >= max(held, SETTLE_WINDOWS):
-                    yield from settled()
-            elif len(key):
-                yield out(key, th, start, n)
+            kind, (key, th, start, n, sym, low, high), end = _unpack(blob)
+            if kind == 0:
+                if len(key):
+                    yield out(key, th, start, n)
+                continue
+            if kind == 1:
+                whole, at = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), np.zeros(len(low), np.int64)
+            else:
+                own = vocabulary.numbers(blob[end:].split())
+                begin = np.concatenate([[0], np.cumsum(n + np.int64(window - 1))[:-1]])
+                at = np.repeat(begin, n) + _steps(n)
+                whole = fingerprints(vocabulary.names[own], at, window)
+                at = at + sum(map(len, numbers))
+                numbers.append(own)
+            got.append((np.repeat(key, n), np.repeat(th, n), np.repeat(start, n) + _steps(n), np.repeat(sym, n), whole, at))
+            fresh += len(at)
+            if fresh >= max(held, SETTLE_WINDOWS):
+                yield from settled()
     if fresh:
         yield from settled()
 
@@ -307,12 +503,13 @@ def _steps(n: np.ndarray) -> np.ndarray:
 def _cut(window: int):
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            texts, spans = raw_texts(batch.column(names.index("text"))), batch.column(names.index("__spans")).to_pylist()
+            column = lambda n: batch.column(batch.schema.names.index(n))
+            texts, spans, own = raw_texts(column("text")), column("__spans").to_pylist(), zip(*(column(n).to_pylist() for n in ("__k", "__th", "__t2")))
             kept, n_words, n_removed = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for i, (text, runs) in enumerate(zip(texts, spans)):
+            for i, (text, runs, row) in enumerate(zip(texts, spans, own)):
                 words = (text or b"").split()
                 n_words[i] = len(words)
+                runs = [x["__r"] for x in runs or () if (x["__k"], x["__th"], x["__t2"]) == row]
                 if runs:
                     r = np.array(runs, np.int64)
                     edge = np.zeros(len(words) + 1, np.int64)
@@ -322,7 +519,7 @@ def _cut(window: int):
                     n_removed[i] = len(words) - int(stay.sum())
                     words = [w for w, s in zip(words, stay.tolist()) if s]
                 kept.append(b" ".join(words))
-            yield with_columns(batch, ("__spans",), kept_text=pa.array(kept, pa.binary()).cast(pa.string()), n_words=pa.array(n_words), n_removed=pa.array(n_removed))
+            yield with_columns(batch, ("__spans", "__row", "__k", "__th", "__t2"), kept_text=pa.array(kept, pa.binary()).cast(pa.string()), n_words=pa.array(n_words), n_removed=pa.array(n_removed))
 
     return run
 
@@ -331,12 +528,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with kept_text (the kept words joined by one space), n_words and n_removed (longs)."""
     text = F.coalesce("text", F.lit(""))
     keys = {"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__th": F.xxhash64(text), "__t2": F.xxhash64(F.lit("second"), text)}
-    keyed = docs.withColumns(keys)
+    # __row finds a row; where two rows share it by chance, each is asked for more and the keys tell their spans apart
+    keyed = docs.withColumns(keys).withColumn("__row", F.xxhash64(*keys))
     parts = task_count(docs)
-    sent = keyed.select("text", *keys).mapInArrow(_emit(window, 8 * parts), "__b int, __m binary")
-    late = sent.repartition(parts, "__b").mapInArrow(_settle, "__k long, __th long, __t2 long, __r long")
-    spans = late.groupBy(*keys).agg(F.collect_list("__r").alias("__spans"))
-    joined = keyed.join(spans, list(keys), "left").select(*docs.columns, "__spans")
+    asked = keyed.select("text", "__row").mapInArrow(_ask(window, 8 * parts), "__b int, __m binary")
+    told = asked.repartition(parts, "__b").mapInArrow(_tell, "__row long, __sym long").groupBy("__row").agg(F.collect_set("__sym").alias("__syms"))
+    # both joins take all of a row, so that they share one shuffle of the texts
+    claimed = keyed.join(told, "__row").mapInArrow(_claim(window, 8 * parts), "__b int, __m binary")
+    late = claimed.repartition(parts, "__b").mapInArrow(lambda batches: _settle(batches, window), "__k long, __th long, __t2 long, __r long")
+    spans = late.groupBy(F.xxhash64(*keys).alias("__row")).agg(F.collect_list(F.struct(*keys, "__r")).alias("__spans"))
+    joined = keyed.join(spans, "__row", "left")
     return joined.mapInArrow(_cut(window), schema_with(docs, (), kept_text=T.StringType(), n_words=T.LongType(), n_removed=T.LongType()))
 
 
