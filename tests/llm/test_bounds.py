@@ -120,3 +120,50 @@ def test_null_ids_keep_their_own_spans(spark):
     got = recompression.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept_text, 256) s").collect()
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted(map(tuple, got), key=key) == sorted(recompression.brute_force(rows), key=key)
+
+
+@pytest.mark.parametrize("settle", [9, 3_000_000])
+def test_words_decide_where_fingerprints_collide(spark, monkeypatch, settle):
+    """With three names for all words, nearly every window has another's fingerprint; the words still tell them apart."""
+    from gridloom.llm import recompression
+
+    from .test_text_operators import corpus
+
+    monkeypatch.setattr(recompression, "_names", lambda words: np.fromiter((len(w) % 3 + 1 for w in words), np.uint64, len(words)))
+    monkeypatch.setattr(recompression, "SETTLE_WINDOWS", settle)
+    rows = [(i, t) for i, t, *_ in corpus(21, 60) if i is not None]
+    got = recompression.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept_text, 256) s").collect()
+    assert sorted(map(tuple, got)) == sorted(recompression.brute_force(rows))
+
+
+def test_only_windows_of_shared_symbols_are_sent(spark):
+    """The first round tells rows of symbols that stand in two places; texts that share nothing send no window."""
+    from gridloom.llm import recompression
+
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(k, " ".join([f"a{k}x{j}" for j in range(300)] + (passage if k < 2 else []))) for k in range(8)]
+    docs = spark.createDataFrame(rows, "__row long, text string")
+    asked = docs.select("text", "__row").mapInArrow(recompression._ask(20, 8), "__b int, __m binary")
+    told = asked.repartition(3, "__b").mapInArrow(recompression._tell, "__row long, __sym long").collect()
+    assert {r["__row"] for r in told} == {0, 1}
+    names = recompression._names([w.encode() for w in passage])
+    flat = np.concatenate([[np.uint64(0)], names, [np.uint64(0)]])
+    symbols, _ = recompression.window_symbols(flat, np.arange(1, 22), 20)
+    assert {r["__sym"] for r in told} >= set(symbols[1:-1].view(np.int64).tolist()[2:-2])
+
+
+def test_every_window_has_a_symbol_of_the_rounds():
+    """Windows without a symbol of the last round are keyed by one of the first, and runs of one word by the run."""
+    from gridloom.llm import recompression
+
+    rng = np.random.default_rng(8)
+    words = np.concatenate([[0], rng.integers(1, 2**62, 4000), [0]]).astype(np.uint64)
+    at = np.arange(1, 3982)
+    key, place = recompression.window_symbols(words, at, 20)
+    known = set()
+    for rounds in (recompression.ROUNDS, 1):
+        s = recompression.recompress(words, rounds)
+        known |= {(int(n), int(p)) for n, p in zip(s["name"], s["start"])}
+    assert all((int(k), int(p)) in known and a <= p < a + 20 for k, p, a in zip(key, place, at))
+    run = np.concatenate([[0], np.full(50, 7), [0]]).astype(np.uint64)
+    assert len(set(recompression.window_keys(run, np.arange(1, 32), 20)[0].tolist())) == 1
