@@ -135,24 +135,42 @@ def _names(words: list) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(w, 7) or 1 for w in words), np.uint64, len(words))
 
 
+class _Numbers(dict):
+    """The number of each word; a new word gets the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        return number
+
+
 class Words:
     """Words by number: numbers are equal for equal words only, so that words are compared as numbers."""
 
     def __init__(self):
-        self.number: dict = {}
-        self.words: list = []
-        self.names = np.zeros(0, np.uint64)
+        self.number = _Numbers()
+        self.words = self.number.words
+        self._names, self.named = np.zeros(0, np.uint64), 0
 
     def numbers(self, words: list) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
-        if new:
-            self.number.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.words += new
-            if len(self.words) > len(self.names):
-                self.names = np.concatenate([self.names, np.zeros(len(self.words), np.uint64)])
-            self.names[len(self.words) - len(new) : len(self.words)] = _names(new)
         return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
 
+    def names(self, numbers: np.ndarray) -> np.ndarray:
+        """The names of words with these numbers; -1 is no word and has name 0."""
+        n = len(self.words)
+        if self.named < n:
+            if n > len(self._names):
+                self._names = np.concatenate([self._names[: self.named], np.zeros(2 * n - self.named, np.uint64)])
+            self._names[self.named : n] = _names(self.words[self.named :])
+            self.named = n
+        out = self._names[numbers]
+        out[numbers < 0] = 0
+        return out
+
 
 def _runs(*columns: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Starts of the runs of consecutive pos in which all columns stay the same, then the length."""
@@ -242,11 +260,11 @@ def verified_later(sym: np.ndarray, whole: np.ndarray, key: np.ndarray, pos: np.
             mixed = mix(mixed ^ x) * _B2
         order = rest[np.argsort(mixed[rest], kind="stable")]
         first = order[np.searchsorted(mixed[order], mixed[late])]
+        if _equal_spans(at[late], at[first], numbers, window):
+            return late, rest
         differ = np.zeros(len(late), bool)
         for k in range(window):
             differ |= numbers[at[late] + k] != numbers[at[first] + k]
-        if not differ.any():
-            return late, rest
         # different words with one fingerprint: number the contents of these groups, and tell windows apart by that too
         exact, seen = np.zeros(len(key), np.uint64), {}
         for i in np.flatnonzero(np.isin(mixed, mixed[late[differ]])).tolist():
@@ -254,6 +272,17 @@ def verified_later(sym: np.ndarray, whole: np.ndarray, key: np.ndarray, pos: np.
         identity = [sym, whole, exact]
 
 
+def _equal_spans(a: np.ndarray, b: np.ndarray, numbers: np.ndarray, window: int) -> bool:
+    """Whether the windows at a equal those at b, word by word; windows that follow one another on both sides are compared
+    as one span."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    cut = _runs(b - a, pos=a)
+    first, n = cut[:-1], np.diff(cut) + window - 1
+    steps = _steps(n)
+    return bool((numbers[np.repeat(a[first], n) + steps] == numbers[np.repeat(b[first], n) + steps]).all())
+
+
 class Pieces:
     """Texts of rows, gathered into pieces of PIECE_WORDS words; ``take`` gets each piece as (rows, names, row of each
     window, its start in the text, its start in the piece, numbers)."""
@@ -277,7 +306,7 @@ class Pieces:
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) + 1
         numbers = np.full(int(sizes.sum()) + len(sizes) + 1, -1, np.int32)
         numbers[np.delete(np.arange(len(numbers)), np.append(begin - 1, len(numbers) - 1))] = np.concatenate([n for _, n in self.rows])
-        names = np.where(numbers < 0, np.uint64(0), self.vocabulary.names[numbers])
+        names = self.vocabulary.names(numbers)
         counts = sizes - self.window + 1
         doc = np.repeat(np.arange(len(sizes)), counts)
         pos = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
@@ -401,7 +430,8 @@ def _claim(window: int, buckets: int):
         word = vocabulary.words.__getitem__
         for b, r in _sorted_parts(_bucket_of(sym[first], buckets)):
             f, m = first[r], n[r]
-            text = b" ".join(b" ".join(map(word, numbers[x : x + c + window - 1].tolist())) for x, c in zip(at[f].tolist(), m.tolist()))
+            span = m + window - 1
+            text = b" ".join(map(word, numbers[np.repeat(at[f], span) + _steps(span)].tolist()))
             yield b, _pack(2, key[f], th[f], pos[f], m, sym[f], none) + text
 
     def run(batches):
@@ -448,7 +478,7 @@ def _settle(batches, window: int = WINDOW):
     def out(key, th, start, n):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(th["a"].copy()), pa.array(th["b"].copy()), pa.array((start.astype(np.int64) << 32) | n.astype(np.int64))], schema=schema)
 
-    def settled():
+    def settled(more: bool):
         nonlocal held, fresh, vocabulary
         key, th, pos, sym, whole, at = _columns(got)
         flat = np.concatenate(numbers)
@@ -459,6 +489,8 @@ def _settle(batches, window: int = WINDOW):
             a = late[cut[:-1]]
             for lo in range(0, len(a), 65536):
                 yield out(key[a[lo : lo + 65536]], th[a[lo : lo + 65536]], pos[a[lo : lo + 65536]], np.diff(cut)[lo : lo + 65536])
+        if not more:
+            return
         if len(flat):  # the words of the windows that stay, numbered anew
             spans = _runs(pos=at[rest])
             first, n = at[rest[spans[:-1]]], np.diff(spans)
@@ -469,6 +501,7 @@ def _settle(batches, window: int = WINDOW):
             numbers[:] = [vocabulary.numbers([old[i] for i in used.tolist()])[again].astype(np.int32)] if len(used) else [flat[:0]]
             at = np.zeros(len(key), np.int64)
             at[rest] = np.repeat(np.concatenate([[0], np.cumsum(n + window - 1)[:-1]]), n) + _steps(n)
+            whole[rest] = fingerprints(_C + numbers[0].astype(np.uint64), at[rest], window) if len(rest) else whole[rest]
         got.append((key[rest], th[rest], pos[rest], sym[rest], whole[rest], at[rest]))
         held, fresh = len(rest), 0
 
@@ -485,15 +518,15 @@ def _settle(batches, window: int = WINDOW):
                 own = vocabulary.numbers(blob[end:].split())
                 begin = np.concatenate([[0], np.cumsum(n + np.int64(window - 1))[:-1]])
                 at = np.repeat(begin, n) + _steps(n)
-                whole = fingerprints(vocabulary.names[own], at, window)
+                whole = fingerprints(_C + own.astype(np.uint64), at, window)  # numbers name words as long as the vocabulary stands
                 at = at + sum(map(len, numbers))
                 numbers.append(own)
             got.append((np.repeat(key, n), np.repeat(th, n), np.repeat(start, n) + _steps(n), np.repeat(sym, n), whole, at))
             fresh += len(at)
             if fresh >= max(held, SETTLE_WINDOWS):
-                yield from settled()
+                yield from settled(True)
     if fresh:
-        yield from settled()
+        yield from settled(False)
 
 
 def _steps(n: np.ndarray) -> np.ndarray:
