@@ -8,7 +8,8 @@ the false ones; the longest entry wins (host and path together, then the longer
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; only A-Z of the host
 are lower-cased; a url that no entry fits gets ``otherwise``; of entries equal in host and path the least verdict
-holds; entries that are null in host, path or verdict are left out; equal rows get equal verdicts; other columns of pages are passed on.
+holds; entries that are null in host, path or verdict are left out; equal rows get equal verdicts; a url of any length is
+read whole; other columns of pages are passed on.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, small_enough
+from gridloom.llm.common import join_skewed, materialize, small_enough
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_ENTRY = 16
@@ -74,7 +75,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -
     table = small_enough(materialize(bloom(rules, blocks)), 1 << 18)
     exact = small_enough(rules, 1 << 17)
 
-    distinct = parsed.where("host <> ''").select("host", "path").distinct()
+    counted = materialize(parsed.groupBy("host", "path").agg(F.count("*").alias("__n")))
+    distinct = counted.where("host <> ''").select("host", "path")
     prefixes = F.transform(F.filter(F.array(*(F.lit(int(x)) for x in lengths)), lambda x: x <= F.length("path")), lambda x: F.substring(F.col("path"), F.lit(1), x))
     candidates = (
         distinct.withColumn("__h", F.explode(suffixes(F.col("host"))))
@@ -88,5 +90,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -
     possible = candidates.join(table, "__block").where(passes).select("host", "path", "__h", "__p")
     best = F.max_by(F.struct(F.concat("__h", "__p").alias("rule"), F.col("__verdict").alias("verdict")), F.struct(F.length("__h") + F.length("__p"), F.length("__h"))).alias("__best")
     decided = possible.join(exact, ["__h", "__p"]).groupBy("host", "path").agg(best)
-    out = parsed.join(decided.select("host", "path", "__best"), ["host", "path"], "left")
+    # every (host, path) with its count, so that those of many pages, ruled or not, are joined by broadcast
+    named = counted.join(decided, ["host", "path"], "left").select(F.col("host").alias("__host"), F.col("path").alias("__path"), "__n", "__best")
+    out = join_skewed(parsed, materialize(named), {"host": "__host", "path": "__path"}, "__n", parsed.count())
     return out.select(*rest, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"))
