@@ -167,3 +167,16 @@ def test_every_window_has_a_symbol_of_the_rounds():
     assert all((int(k), int(p)) in known and a <= p < a + 20 for k, p, a in zip(key, place, at))
     run = np.concatenate([[0], np.full(50, 7), [0]]).astype(np.uint64)
     assert len(set(recompression.window_keys(run, np.arange(1, 32), 20)[0].tolist())) == 1
+
+
+def test_very_long_and_very_common_urls(spark):
+    from gridloom.llm import url_filter
+
+    from .test_table_operators import RULES, plain_rule
+
+    long = ["https://www.example.com/en/" + "a/" * 200_000, "https://" + "s." * 3000 + "net/fr/x?" + "q" * 100_000, "x" * 300_000]
+    urls = long + [None] * 400 + ["http://hot.org/"] * 300 + ["http://a.net/es/"] * 300 + [f"http://h{i}.com/{i}" for i in range(50)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, listed).collect()}
+    assert got == {i: plain_rule(u, RULES) for i, u in enumerate(urls)}
