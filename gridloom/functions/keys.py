@@ -9,16 +9,18 @@ KEY = r"^cell_r(\d+)_c(\d+)(?:_blob_(\d+(?:_blob_\d+)?))?(?:_word_(\d+))?(?:_cha
 
 
 def parse_key(name: Column) -> Column:
-    """struct(r, c, blob, word, char, part); null where the name is no key. A second line level joins the first: "a_b"."""
+    """struct(r, c, blob, word, char, part); null where the name is no key. A second line level joins the first: "a_b".
 
-    def part(i):
-        return F.regexp_extract(name, KEY, i)
+    The name is matched once: its parts are put between marks that no name begins with, then split."""
+    mark = "\u0001"
+    parts = F.split(F.regexp_replace(name, KEY + r"[\s\S]*$", mark + mark.join(f"${i}" for i in range(1, 7))), mark)
 
-    def number(i):
-        return F.when(part(i) != "", part(i).cast("int"))
+    def fields(p):
+        number = lambda i: F.when(p[i] != "", p[i].cast("int"))
+        blob = F.when(p[3] != "", F.replace(p[3], F.lit("_blob_"), F.lit("_")))
+        return F.when((F.size(p) == 7) & (p[0] == ""), F.struct(number(1).alias("r"), number(2).alias("c"), blob.alias("blob"), number(4).alias("word"), number(5).alias("char"), number(6).alias("part")))
 
-    blob = F.when(part(3) != "", F.replace(part(3), F.lit("_blob_"), F.lit("_")))
-    return F.when(name.rlike(KEY), F.struct(number(1).alias("r"), number(2).alias("c"), blob.alias("blob"), number(4).alias("word"), number(5).alias("char"), number(6).alias("part")))
+    return F.get(F.transform(F.array(parts), fields), F.lit(0))
 
 
 def parent_key(name: Column) -> Column:

@@ -234,7 +234,7 @@ def line_crossings(spark, d):
     """Where y = m1 x + k1 and y = m2 x + k2 meet (region is the slope, nation the offset); null when parallel."""
     a = t(spark, d, "nation").select(F.col("n_nationkey").alias("h"), F.col("n_regionkey").alias("m1"))
     b = t(spark, d, "nation").select(F.col("n_nationkey").alias("v"), F.col("n_regionkey").alias("m2"))
-    return a.join(F.broadcast(b), F.col("m1") <= F.col("m2")).select("h", "v", r6(F.try_divide((F.col("v") - F.col("h")).cast("double"), F.col("m1") - F.col("m2")), "x"))
+    return a.join(b, F.col("m1") <= F.col("m2")).select("h", "v", r6(F.try_divide((F.col("v") - F.col("h")).cast("double"), F.col("m1") - F.col("m2")), "x"))
 
 
 # -- runs and clusters
@@ -355,25 +355,32 @@ def features_basic(spark, d):
 
 @query(f"WITH {PX}, q AS (SELECT vec_id, (i // 4) * 2 + j // 4 AS k, sum(v * v) AS e FROM px GROUP BY ALL) SELECT vec_id, k AS quadrant, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS share FROM q")
 def quadrants(spark, d):
-    q = pixels(spark, d).groupBy("vec_id", F.expr("cast((i div 4) * 2 + j div 4 as bigint)").alias("quadrant")).agg(F.sum(F.col("v") * F.col("v")).alias("e"))
-    return q.select("vec_id", "quadrant", r6(F.col("e") / F.sum("e").over(Window.partitionBy("vec_id")), "share"))
+    px = F.col("px")
+    energy = lambda y, x: signals.total(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.pow(F.get(px, ((F.floor(k / 4) + y) * 8 + k % 4 + x).cast("int")), F.lit(2))))
+    e = glyphs(spark, d).select("vec_id", F.array(*(energy(y, x) for y in (0, 4) for x in (0, 4))).alias("e")).withColumn("all", signals.total(F.col("e")))
+    return e.select("vec_id", "all", F.posexplode("e").alias("q", "x")).select("vec_id", F.col("q").cast("long").alias("quadrant"), r6(F.col("x") / F.col("all"), "share"))
 
 
 @query(f"""WITH {PX}, a AS (SELECT vec_id, j // 4 AS half, i // 2 AS q, round(avg(v), 4) AS m FROM px GROUP BY ALL), s AS (SELECT *, coalesce(sign(m - lag(m) OVER w), 1) AS up FROM a WINDOW w AS (PARTITION BY vec_id, half ORDER BY q))
 SELECT vec_id, half, q, CAST(sum(up) OVER (PARTITION BY vec_id, half ORDER BY q) AS BIGINT) AS code FROM s""")
 def eight_area_code(spark, d):
-    a = pixels(spark, d).groupBy("vec_id", F.expr("cast(j div 4 as bigint)").alias("half"), F.expr("cast(i div 2 as bigint)").alias("q")).agg(F.round(F.avg("v"), 4).alias("m"))
-    w = Window.partitionBy("vec_id", "half").orderBy("q")
-    up = F.coalesce(F.signum(F.col("m") - F.lag("m").over(w)), F.lit(1.0))
-    return a.withColumn("up", up).select("vec_id", "half", "q", F.sum("up").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("code"))
+    area = lambda half, q: F.round(signals.total(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.get(F.col("px"), ((F.floor(k / 4) + 2 * q) * 8 + k % 4 + 4 * half).cast("int")))) / 8, 4)
+    halves = F.array(*(F.array(*(area(h, q) for q in range(4))) for h in range(2)))
+    g = glyphs(spark, d).select("vec_id", F.posexplode(halves).alias("half", "m"))
+    step = lambda i: F.when(i == 0, 1.0).otherwise(F.signum(F.get("m", i) - F.get("m", i - 1)))
+    codes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: F.aggregate(F.sequence(F.lit(0), q), F.lit(0.0), lambda s, i: s + step(i)).cast("long"))
+    return g.select("vec_id", F.col("half").cast("long").alias("half"), F.posexplode(codes).alias("q", "code")).withColumn("q", F.col("q").cast("long"))
 
 
 @query(f"""WITH {PX}, b AS (SELECT vec_id, i, j, greatest(v, 0) AS v FROM px), m AS (SELECT vec_id, sum(v) AS m00, sum(j * v) AS m10, sum(i * v) AS m01, sum(j * j * v) AS m20, sum(i * i * v) AS m02, sum(i * j * v) AS m11 FROM b GROUP BY vec_id)
 SELECT vec_id, round(m00, 6) AS m00, round(m10 / m00, 6) AS cx, round(m01 / m00, 6) AS cy, round(m20 - m10 * m10 / m00, 5) AS mu20, round(m02 - m01 * m01 / m00, 5) AS mu02, round(m11 - m10 * m01 / m00, 5) AS mu11 FROM m WHERE m00 > 0""")
 def moments(spark, d):
-    b = pixels(spark, d).withColumn("v", F.greatest("v", F.lit(0.0)))
-    i, j, v = F.col("i"), F.col("j"), F.col("v")
-    m = b.groupBy("vec_id").agg(F.sum(v).alias("m00"), F.sum(j * v).alias("m10"), F.sum(i * v).alias("m01"), F.sum(j * j * v).alias("m20"), F.sum(i * i * v).alias("m02"), F.sum(i * j * v).alias("m11")).where("m00 > 0")
+    ink = F.transform("px", lambda v: F.greatest(v, F.lit(0.0)))
+    j, i = lambda k: k % 8, lambda k: F.floor(k / 8)
+    parts = {"m00": lambda k: F.lit(1), "m10": j, "m01": i, "m20": lambda k: j(k) * j(k), "m02": lambda k: i(k) * i(k), "m11": lambda k: i(k) * j(k)}
+    g = glyphs(spark, d).select("vec_id", ink.alias("v"))
+    weighed = lambda f: signals.total(F.transform("v", lambda v, k: v * f(k)))
+    m = g.select("vec_id", *(weighed(f).alias(n) for n, f in parts.items())).where("m00 > 0")
     e = lambda s, n, k=6: F.round(F.expr(s), k).alias(n)
     return m.select("vec_id", e("m00", "m00"), e("m10 / m00", "cx"), e("m01 / m00", "cy"), e("m20 - m10 * m10 / m00", "mu20", 5), e("m02 - m01 * m01 / m00", "mu02", 5), e("m11 - m10 * m01 / m00", "mu11", 5))
 
@@ -404,9 +411,8 @@ def symmetry_center(spark, d):
 
 @query(f"""WITH {PX}, b AS (SELECT vec_id, least(15, floor((v + 0.6) / 1.2 * 16)) AS bin, count(*) AS n FROM px WHERE v BETWEEN -0.6 AND 0.6 GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY vec_id) AS p FROM b) SELECT vec_id, round(-sum(p * log2(p)) / log2(16), 6) AS entropy FROM s GROUP BY vec_id""")
 def entropy_hist(spark, d):
-    b = pixels(spark, d).where(F.col("v").between(-0.6, 0.6)).groupBy("vec_id", F.least(F.lit(15), F.floor((F.col("v") + 0.6) / 1.2 * 16)).alias("bin")).count()
-    s = b.withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy("vec_id")))
-    return s.groupBy("vec_id").agg(r6(-F.sum(F.col("p") * F.log2("p")) / 4, "entropy"))
+    shares = F.transform("px", lambda v: (v + 0.6) / 1.2)
+    return glyphs(spark, d).select("vec_id", signals.histogram_entropy(shares, 16).alias("h")).where("h is not null").select("vec_id", r6(F.col("h"), "entropy"))
 
 
 @query("""WITH u AS (SELECT vec_id, k - 1 AS c, embedding[k] AS s FROM (SELECT *, unnest(range(1, 65)) AS k FROM embeddings)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) AS n FROM u)
@@ -419,9 +425,13 @@ def argmax_top3(spark, d):
 
 @query(f"""WITH {PX} SELECT vec_id, min(j) AS x, min(i) AS y, max(j) - min(j) + 1 AS w, max(i) - min(i) + 1 AS h, count(*) AS area, round(count(*) / ((max(j) - min(j) + 1) * (max(i) - min(i) + 1)), 6) AS filled, round(sum(v) FILTER (j < 2), 6) AS left_ink, round(sum(v) FILTER (i > 5), 6) AS bottom_ink FROM px WHERE v > 0 GROUP BY vec_id""")
 def ink_box(spark, d):
-    p = pixels(spark, d).where("v > 0").groupBy("vec_id")
-    w, h = F.expr("max(j) - min(j) + 1").cast("long"), F.expr("max(i) - min(i) + 1").cast("long")
-    return p.agg(F.min("j").cast("long").alias("x"), F.min("i").cast("long").alias("y"), w.alias("w"), h.alias("h"), F.count("*").alias("area"), r6(F.count("*") / (w * h), "filled"), r6(F.sum(F.when(F.col("j") < 2, F.col("v"))), "left_ink"), r6(F.sum(F.when(F.col("i") > 5, F.col("v"))), "bottom_ink"))
+    at = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.get("px", k) > 0)
+    g = glyphs(spark, d).select("vec_id", "px", at.alias("k")).where(F.size("k") > 0)
+    g = g.withColumn("xs", F.transform("k", lambda k: k % 8)).withColumn("ys", F.transform("k", lambda k: F.floor(k / 8)))
+    low, span = lambda c: F.array_min(c).cast("long"), lambda c: (F.array_max(c) - F.array_min(c) + 1).cast("long")
+    some = lambda keep, n: r6(F.when(F.exists("k", keep), signals.total(F.transform(F.filter("k", keep), lambda k: F.get("px", k)))), n)
+    w, h, n = span("xs"), span("ys"), F.size("k").cast("long")
+    return g.select("vec_id", low("xs").alias("x"), low("ys").alias("y"), w.alias("w"), h.alias("h"), n.alias("area"), r6(n / (w * h), "filled"), some(lambda k: k % 8 < 2, "left_ink"), some(lambda k: k >= 48, "bottom_ink"))
 
 
 @query(f"""WITH {PX}, r AS (SELECT vec_id, list(round(v, 4) ORDER BY j, 7 - i) AS turned, list(round(CASE WHEN round(v, 4) > 0.2 THEN 1 ELSE v END, 4) ORDER BY i, j) AS masked, list(round(v, 4) ORDER BY i, j) FILTER (i BETWEEN 2 AND 4 AND j BETWEEN 1 AND 5) AS part FROM px GROUP BY vec_id)
@@ -680,7 +690,7 @@ def standard_scaler(spark, d):
 def label_encoder(spark, d):
     e = t(spark, d, "events")
     codes = e.select("event_type").distinct().withColumn("code", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("event_type")) - 1).cast("long"))
-    return e.join(F.broadcast(codes), "event_type").select("event_id", "code")
+    return e.join(codes, "event_type").select("event_id", "code")  # distinct values may be many: the planner broadcasts them if they are few
 
 
 @query()
