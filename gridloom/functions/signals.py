@@ -160,3 +160,20 @@ def entropy(a: Column) -> Column:
     """Shannon entropy of values taken as shares of their sum."""
     x = F.transform(a, lambda v: v + 1e-12)
     return -total(F.transform(x, lambda v: (v / total(x)) * F.log2(v / total(x) + 1e-12)))
+
+
+def resampled(a: Column, n: int) -> Column:
+    """n values at equal steps from the first to the last, linear in between (n above 1)."""
+
+    def at(k):
+        x = k * (F.size(a) - 1) / F.lit(n - 1)
+        low = F.least(F.floor(x), F.size(a) - 2).cast("int")
+        return F.get(a, low) + (F.get(a, low + 1) - F.get(a, low)) * (x - low)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation of two arrays; 0 where one of them is constant."""
+    x, y = F.transform(a, lambda v: v - mean(a)), F.transform(b, lambda v: v - mean(b))
+    return F.coalesce(F.try_divide(total(F.zip_with(x, y, lambda p, q: p * q)), F.sqrt(total(F.transform(x, lambda p: p * p)) * total(F.transform(y, lambda p: p * p)))), F.lit(0.0))

@@ -96,3 +96,15 @@ def group_components(nodes: DataFrame, edges: DataFrame, key: str, ident: str) -
             yield label(held)
 
     return both.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} long, {ident} long, component long")
+
+
+def first_row_below(cells: DataFrame, nodes: DataFrame, key: str, ident: str, tolerance: float) -> DataFrame:
+    """(key, ident, below): for cells (key, ident, r, x1, x2) the first row of nodes (key, r, x) under r with a node within
+    the tolerance of x1 and one within it of x2; null if no row has both."""
+
+    def near(corner):
+        found = band_join(cells.select(key, ident, F.col("r").alias("__r"), corner), nodes.select(key, "r", "x"), [key], corner, "x", tolerance)
+        return found.where(F.col("r") > F.col("__r")).select(key, ident, "r").distinct()
+
+    both = near("x1").join(near("x2"), [key, ident, "r"]).groupBy(key, ident).agg(F.min("r").alias("below"))
+    return cells.select(key, ident).join(both, [key, ident], "left")

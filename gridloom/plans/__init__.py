@@ -1,5 +1,5 @@
 """Query catalogs; importing the package registers the queries of every module."""
 
-from gridloom.plans import catalog, exact, images, shapes
+from gridloom.plans import catalog, exact, images, scans, shapes
 
-__all__ = ["catalog", "exact", "images", "shapes"]
+__all__ = ["catalog", "exact", "images", "scans", "shapes"]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import columns, joins, models, raster, runs, shapes, spectra, vision
+from gridloom.operators import columns, joins, models, raster, runs, scans, shapes, spectra, vision
 from gridloom.plans import catalog
 from gridloom.sources import sinks, tables
 
@@ -226,6 +226,67 @@ def test_fan_and_variants(spark, rasters):
     assert {k: str(v) for k, v in again.items()} == {k: str(v) for k, v in answers(spark, "augmented_rasters").items()} and set(again) == set(rasters)
 
 
+def test_projection_peaks(spark, rasters):
+    def plain(v, height, distance):
+        if max(v) < 10:
+            return 0
+        v = [x / max(v) for x in v]
+        found = [(v[i], i) for i in range(1, 7) if v[i - 1] < v[i] > v[i + 1] and v[i] >= height]  # no two sums are equal here
+        kept = []
+        for _, i in sorted(found, reverse=True):
+            if all(abs(i - j) >= distance for j in kept):
+                kept.append(i)
+        return len(kept)
+
+    got = answers(spark, "projection_peaks")
+    for k, a in rasters.items():
+        ink = (a > 0.1) * ((a + 0.6) / 1.2 * 255).clip(0, 255).round()
+        if min(np.diff(np.sort(ink.sum(0))).min(), np.diff(np.sort(ink.sum(1))).min()) > 0:
+            assert (got[k][0]["columns"], got[k][0]["rows"]) == (plain(ink.sum(0).tolist(), 0.2, 3), plain(ink.sum(1).tolist(), 0.2, 2))
+    assert scans.peaks(np.array([0, 3, 3, 3, 0, 2, 0, 1]), 1, 1).tolist() == [2, 5]  # a plateau's middle; the last value is no peak
+    assert scans.peaks(np.array([0, 5, 0, 4, 0, 3, 0]), 1, 3).tolist() == [1, 5]
+
+
+def test_border_scan(spark, rasters):
+    def plain(line, white):
+        """Whether a line belongs to the border, pixel by pixel, given the white pixels so far."""
+        n, run, score, longest = len(line), 0, 0, 0
+        for v in line:
+            white += v >= 230
+            if v < 30:
+                run += 1
+            elif run:
+                score, longest, run = score + run, max(longest, run), 0
+            else:
+                score -= 1
+        score, longest = score + run, max(longest, run)
+        mean = sum(line) / n
+        return 100 * white / n < 10 or mean < 125 or score > 0.75 * n or 100 * longest / n >= 25 or (mean < 210 and score > 0.4 * n), white
+
+    got = answers(spark, "border_scan")
+    for k, a in rasters.items():
+        image = (((a + 0.6) / 1.2 * 255).clip(0, 255).round() * (a > -0.1)).tolist()
+        want = []
+        for side in range(4):  # turning the raster to the left brings the next side to the top
+            most, last, white, i = min(len(image), len(image[0]) if image else 0) - 1, -1, 0, 0
+            limit = min(3, most)
+            while i < limit:
+                dark, white = plain(image[i], white)
+                if dark:
+                    last, limit = i, min(limit + 3, most)
+                i += 1
+            want.append(last)
+            image = [list(r) for r in zip(*image[last + 1 :])][::-1] if last + 1 < len(image) else []
+            if not image:
+                want += [-1] * (3 - side)
+                break
+        row = got[k][0]
+        assert [row[n] for n in ("top", "right", "bottom", "left")] == want
+    edged = np.full((30, 30), 255.0)
+    edged[:2], edged[:, -1] = 0, 0
+    assert scans.borders(edged) == {"top": 1, "right": 0, "bottom": -1, "left": -1}
+
+
 @pytest.mark.parametrize("name", ["logistic_regression", "random_forest"])
 def test_models_beat_the_commonest_class(spark, name):
     rows = [(r["label"], r["prediction"]) for r in catalog.QUERIES[name](spark, str(DATA)).collect()]
