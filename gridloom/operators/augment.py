@@ -114,3 +114,50 @@ def variants(df: DataFrame, key: str, h: int, w: int, copies: int) -> DataFrame:
     kinds = dict(df.dtypes)
     each = df.where(F.size("px") == h * w).select(key, "label", "px", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
     return each.mapInPandas(run, f"{key} {kinds[key]}, label {kinds['label']}, copy int, steps array<string>, px array<double>")
+
+
+def to_height(image: np.ndarray, rng, height: int, width: int) -> np.ndarray:
+    """Scaled to a height with its shape kept, then padded with white on a random share of either side; squeezed to the width
+    if it is too wide."""
+    h, w = image.shape
+    new = max(1, int(w * (height / h)))
+    out = np.clip(resize_cubic(image.astype(float), height, min(new, width)), 0.0, 255.0)
+    left = int(rng.integers(0, width - out.shape[1] + 1))
+    return np.pad(out, ((0, 0), (left, width - out.shape[1] - left)), constant_values=255.0)
+
+
+def noise_patch(kind: str, size: int, rng) -> np.ndarray:
+    """A raster that shows nothing: light greys (gaussian), specks on white (salt_pepper), or blurred strokes (blur)."""
+    if kind == "gaussian":
+        return rng.integers(128, 255, (size, size)).astype(float)
+    if kind == "salt_pepper":
+        hit = rng.random((size, size)) < 0.1
+        return np.where(hit, rng.choice([0.0, 255.0], (size, size)), 255.0)
+    if kind != "blur":
+        raise ValueError(f"no noise is called {kind}")
+    out = np.full((size, size), 255.0)
+    for _ in range(5):
+        (x0, y0), (x1, y1) = rng.integers(0, size, (2, 2))
+        grey, steps = float(rng.integers(0, 129)), max(abs(int(x1) - int(x0)), abs(int(y1) - int(y0)), 1)
+        for k in range(steps + 1):
+            y, x = round(y0 + (y1 - y0) * k / steps), round(x0 + (x1 - x0) * k / steps)
+            out[y : y + 2, x : x + 2] = grey
+    return blur(out, 13, 2.0)
+
+
+def vocabulary(common: list, extra: list = ()) -> list:
+    """Tokens to draw samples of, each once, in order: decimals that begin with a dot, numbers that end with one, whole numbers
+    with .0, the common words, and any others."""
+    rules = [*(f".{k}" for k in range(10)), *(f"{k}." for k in range(1, 21)), *(f"{k}.0" for k in range(10))]
+    return list(dict.fromkeys([*rules, *common, *extra]))
+
+
+def class_tokens(spark, words: list, n: int, seed: int = 42) -> DataFrame:
+    """(id, kind, token): n tokens each of NUMBER, WORD and OTHER. Which one is drawn hangs on the id and the seed alone."""
+    pick = lambda salt, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id", "kind"), F.lit(m)).cast("int")
+    table = lambda values, salt: F.get(F.array(*(F.lit(v) for v in values)), pick(salt, len(values)))
+    digits = F.format_string("%d", pick("digits", 100_000))
+    number = F.when(pick("form", 3) == 0, digits).when(pick("form", 3) == 1, F.concat(digits, F.lit(","), pick("tail", 100).cast("string"))).otherwise(F.concat(F.lit("-"), digits, F.lit("."), pick("tail", 10).cast("string")))
+    other = F.when(pick("form", 3) == 0, F.lit("")).when(pick("form", 3) == 1, table(["№", "§", "±", "*", "/", "|"], "sign")).otherwise(F.concat(table(words, "word"), digits))
+    rows = spark.range(n).select("id", F.explode(F.array(*map(F.lit, ("NUMBER", "WORD", "OTHER")))).alias("kind"))
+    return rows.select("id", "kind", F.when(F.col("kind") == "NUMBER", number).when(F.col("kind") == "WORD", table(words, "word")).otherwise(other).alias("token"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from gridloom.operators.raster import dilate, erode, label_components, line_mask, otsu
-from gridloom.operators.vision import adaptive_gaussian, equalize, holes
+from gridloom.operators.vision import adaptive_gaussian, clahe, equalize, holes, resize_area, resize_cubic
 
 STROKES = "struct<upright:int,level:int>"
 SPREAD = "struct<n:int,aspect_mean:double,aspect_std:double,aspect_range:double,area_mean:double,area_std:double,eccentricity:double,euler:int,density:double>"
@@ -87,3 +87,16 @@ def fan(grey: np.ndarray, levels: tuple = (200, 220, 240)) -> list[dict]:
         return turned(erode, dilate(opened, 2, 2)) > 0
 
     return [{"name": n + tail, "ink": float(np.mean(x))} for n, ink in made.items() for tail, x in (("", ink), ("_clean", cleaned(ink)))]
+
+
+INPUTS = "array<struct<name:string,px:array<double>>>"
+
+
+def model_inputs(grey: np.ndarray, size: tuple) -> list[dict]:
+    """What a model may be given of a 0..255 raster, resized and in 0..1: as it is, inverted, binarised, both, and with its
+    contrast raised."""
+    grey = np.asarray(grey, float)
+    turned = 255 - grey
+    made = {"simple": grey, "inverted": turned, "thresholded": (grey > otsu(grey)) * 255.0, "inverted_thresholded": (turned > otsu(turned)) * 255.0, "clahe": clahe(grey, 3.0)}
+    fit = lambda a: a if a.shape == size else resize_area(a, *size) if a.shape[0] >= size[0] and a.shape[1] >= size[1] else resize_cubic(a, *size).clip(0, 255)
+    return [{"name": n, "px": (fit(a) / 255).ravel().tolist()} for n, a in made.items()]

@@ -135,6 +135,32 @@ def equalize(gray: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(upto - low, 0, None) * 255 / (upto[-1] - low)).astype(int)[gray.astype(int)]
 
 
+def clahe(grey: np.ndarray, clip: float, tiles: tuple = (8, 8)) -> np.ndarray:
+    """Contrast raised tile by tile: each tile's histogram is cut at ``clip`` times its mean, what was cut is dealt to all levels,
+    and a pixel is mapped by the four tiles around it, weighted by nearness."""
+    g = np.asarray(grey).astype(np.uint8)
+    h, w = g.shape
+    rows, cols = tiles
+    wide = np.pad(g, ((0, -h % rows), (0, -w % cols)), mode="reflect") if h % rows or w % cols else g
+    th, tw = wide.shape[0] // rows, wide.shape[1] // cols
+    limit = max(1, int(clip * th * tw / 256))
+    maps = np.zeros((rows, cols, 256))
+    for r in range(rows):
+        for c in range(cols):
+            counts = np.bincount(wide[r * th : (r + 1) * th, c * tw : (c + 1) * tw].ravel(), minlength=256)
+            over = int(np.maximum(counts - limit, 0).sum())
+            counts = np.minimum(counts, limit) + over // 256
+            if rest := over % 256:
+                counts[: rest * max(256 // rest, 1) : max(256 // rest, 1)] += 1
+            maps[r, c] = np.clip(np.rint(np.cumsum(counts) * (255 / (th * tw))), 0, 255)
+    y, x = (np.arange(h) / th - 0.5)[:, None], (np.arange(w) / tw - 0.5)[None, :]
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = y - y0, x - x0
+    at = lambda i, j: maps[np.clip(i, 0, rows - 1), np.clip(j, 0, cols - 1), g]
+    upper, lower = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx, at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
+    return np.clip(np.rint(upper * (1 - fy) + lower * fy), 0, 255)
+
+
 def close_gaps(mask: np.ndarray, length: int, horizontal: bool = True) -> np.ndarray:
     """Gaps shorter than ``length`` between marked pixels of a row (or column) are filled; nothing else grows."""
     kh, kw = (1, length) if horizontal else (length, 1)

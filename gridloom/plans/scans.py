@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from gridloom.functions import signals
-from gridloom.operators import joins, scans, vision
+from gridloom.functions import signals, tokens
+from gridloom.operators import augment, joins, scans, shapes, vision
 from gridloom.plans import exact
 from gridloom.plans.catalog import ORACLE, PX, QUERIES, glyphs, query, r6, t
 
@@ -109,3 +111,38 @@ def sample_plan(spark, d):
     """Three samples of each token: file name and label."""
     b = t(spark, d, "benchmark").select("item_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("sample"), F.col("text").alias("label"))
     return b.select("item_id", "sample", F.format_string("sample_%06d_%d.png", "item_id", "sample").alias("filename"), "label")
+
+
+@query()
+def model_input_fan(spark, d):
+    """Five forms of each raster for a model, told by their mean (tested against plain versions over the table)."""
+    fan = vision.kernel_column(F.col("px"), 8, 8, shapes.INPUTS, lambda a: shapes.model_inputs(grey(a), (4, 4)))
+    return glyphs(spark, d).select("vec_id", F.inline(fan)).select("vec_id", "name", r6(signals.mean(F.col("px")), "mean"))
+
+
+@query("SELECT * FROM (VALUES ('NUMBER', 'number', 200), ('WORD', 'word', 200), ('OTHER', 'other', 200)) v(kind, said, n)")
+def generated_tokens(spark, d):
+    """Generated tokens of each class are what the token rules say they are."""
+    made = augment.class_tokens(spark, ["оп", "руб.", "word", "Итого:"], 200)
+    return made.groupBy("kind", tokens.token_type(F.col("token")).alias("said")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"""WITH {PX}, s AS (SELECT vec_id, (lead(v) OVER r - lag(v) OVER r) AS dx, (lead(v) OVER c - lag(v) OVER c) AS dy FROM px WINDOW r AS (PARTITION BY vec_id, i ORDER BY j), c AS (PARTITION BY vec_id, j ORDER BY i)),
+o AS (SELECT vec_id, CAST(floor((atan2(dy, dx) + 2 * pi()) % (2 * pi()) * 9 / (2 * pi())) AS BIGINT) % 9 AS bin, sqrt(dx * dx + dy * dy) AS size FROM s WHERE dx IS NOT NULL AND dy IS NOT NULL),
+b AS (SELECT vec_id, k AS bin, coalesce(sum(size), 0) AS w FROM (SELECT DISTINCT vec_id FROM o) x CROSS JOIN (SELECT unnest(range(0, 9)) AS k) n LEFT JOIN o USING (vec_id) WHERE o.bin = k GROUP BY ALL),
+t AS (SELECT vec_id, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM b) SELECT vec_id, round(max(p), 6) AS greatest, round(sum(p * p), 6) AS energy, round(sqrt(sum(p * p) / 9 - 1 / 81.0), 6) AS std FROM t GROUP BY vec_id""")
+def orientation_stats(spark, d):
+    """Nine directions round the circle, weighted by gradient size: greatest share, energy and deviation of the shares."""
+
+    def gradient(k):
+        at = (F.floor(k / 6).cast("int") + 1) * 8 + F.pmod(k, F.lit(6)) + 1
+        return F.struct((F.get("px", at + 1) - F.get("px", at - 1)).alias("dx"), (F.get("px", at + 8) - F.get("px", at - 8)).alias("dy"))
+
+    bin_of = lambda g: (F.floor(F.pmod(F.atan2(g["dy"], g["dx"]) + 2 * math.pi, F.lit(2 * math.pi)) * 9 / (2 * math.pi)) % 9).cast("int")
+    size = lambda g: F.sqrt(g["dx"] * g["dx"] + g["dy"] * g["dy"])
+    g = glyphs(spark, d).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(35)), gradient).alias("g"))
+    g = g.select("vec_id", F.transform("g", lambda x: F.struct(bin_of(x).alias("b"), size(x).alias("s"))).alias("g"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda b: F.aggregate("g", F.lit(0.0), lambda t, x: t + F.when(x["b"] == b, x["s"]).otherwise(0.0)))
+    p = g.select("vec_id", weights.alias("w")).select("vec_id", F.transform("w", lambda w: w / signals.total(F.col("w"))).alias("p"))
+    energy = signals.total(F.transform("p", lambda x: x * x))
+    return p.select("vec_id", r6(F.array_max("p"), "greatest"), r6(energy, "energy"), r6(F.sqrt(signals.variance(F.col("p"))), "std"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import columns, joins, models, raster, runs, scans, shapes, spectra, vision
+from gridloom.operators import augment, columns, joins, models, raster, runs, scans, shapes, spectra, vision
 from gridloom.plans import catalog
 from gridloom.sources import sinks, tables
 
@@ -226,6 +226,36 @@ def test_fan_and_variants(spark, rasters):
     assert {k: str(v) for k, v in again.items()} == {k: str(v) for k, v in answers(spark, "augmented_rasters").items()} and set(again) == set(rasters)
 
 
+def test_model_inputs(spark, rasters):
+    got = answers(spark, "model_input_fan")
+    for k, a in list(rasters.items())[::10]:
+        g = ((a + 0.6) / 1.2 * 255).clip(0, 255).round()
+        mean = {r["name"]: r["mean"] for r in got[k]}
+        assert len(mean) == 5 and math.isclose(mean["simple"], g.mean() / 255, abs_tol=1e-6) and math.isclose(mean["inverted"], 1 - g.mean() / 255, abs_tol=1e-6)
+        assert math.isclose(mean["thresholded"], (g > raster.otsu(g)).mean(), abs_tol=1e-6)
+    flat = np.full((16, 16), 90.0)
+    assert len(np.unique(vision.clahe(flat, 3.0, (2, 2)))) == 1
+    steps = np.repeat(np.arange(100, 116, dtype=float)[None], 16, axis=0)
+    raised = vision.clahe(steps, 40.0, (1, 1))  # one tile that nothing is cut of: the plain equalisation
+    assert raised[0].tolist() == [round((k + 1) * 16 * 255 / 256) for k in range(16)] and np.ptp(vision.clahe(steps, 3.0, (2, 2))) > np.ptp(steps)
+
+
+def test_samples_are_drawn_alike(spark):
+    rng = lambda: np.random.default_rng(3)
+    wide = augment.to_height(np.zeros((4, 6)), rng(), 8, 40)
+    assert wide.shape == (8, 40) and (wide == 0).sum() == 8 * 12 and (wide == 255).sum() == 8 * 28
+    assert augment.to_height(np.zeros((4, 90)), rng(), 8, 40).shape == (8, 40)
+    for kind in ("gaussian", "salt_pepper", "blur"):
+        a = augment.noise_patch(kind, 20, rng())
+        assert a.shape == (20, 20) and a.min() >= 0 and a.max() <= 255 and np.array_equal(a, augment.noise_patch(kind, 20, rng()))
+    with pytest.raises(ValueError):
+        augment.noise_patch("silence", 4, rng())
+    words = augment.vocabulary(["a", "b", ".5", "a"], ["c", "1."])
+    assert words[:10] == [f".{k}" for k in range(10)] and words[-3:] == ["a", "b", "c"] and len(words) == len(set(words)) == 43
+    one, two = (sorted(map(tuple, augment.class_tokens(spark, ["x", "yz"], 50).repartition(n).collect())) for n in (1, 5))
+    assert one == two and len(one) == 150
+
+
 def test_projection_peaks(spark, rasters):
     def plain(v, height, distance):
         if max(v) < 10:
