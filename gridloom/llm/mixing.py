@@ -23,33 +23,44 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 RANGE_ROWS = 1_000
 COARSE = 1_024
+SOURCES_AT_ONCE = 50_000
 
 
 def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
+def in_order(rows: DataFrame, order: list, sums: list) -> DataFrame:
+    """rows, and as __before_<c> the sum of column c over the rows before. Rows are dealt to ranges of the order, so that no
+    window holds more than a range, or one row for each range."""
+    parts = -(-rows.count() // SOURCES_AT_ONCE) or 1
+    dealt = rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)
+    dealt = materialize(dealt.withColumn("__part", F.spark_partition_id()))
+    up = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__part").agg(*(F.sum(c).alias(f"__sum_{c}") for c in sums))
+    offsets = totals.select("__part", *(F.coalesce(F.sum(f"__sum_{c}").over(up), F.lit(0)).alias(f"__up_{c}") for c in sums))
+    inner = dealt.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"__in_{c}") for c in sums))
+    return inner.join(offsets, "__part").select(*rows.columns, *((F.col(f"__up_{c}") + F.col(f"__in_{c}")).alias(f"__before_{c}") for c in sums))
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, docs) -> the same with target (double).
+    """(source, source_size, docs) -> the same with target (double). sources: materialised.
 
     Stops are reached in the order of size over weight: with s and w summed over the sources from one on, and the
     stops before it met in full, that source and all after it share what remains, (all - most * sizes before) / w for
     each weight, if this doesn't exceed most * size / weight. The first source for which it holds sets the share."""
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))).cast("int")
-    weighed = sources.withColumn("__w", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), place + 1)).withColumn("__full", F.col("source_size") / F.col("__w"))
-    order = Window.orderBy("__full", F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onwards = order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = (
-        weighed.withColumn("__left", F.sum("source_size").over(everything) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("__share", F.col("__left") / F.sum("__w").over(onwards))
-        .withColumn("__free", F.when(F.col("__share") <= most * F.col("__full"), F.col("__share")))
-        .withColumn("__level", F.first("__free", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    )
+    name = [F.col("source").isNull(), F.col("source")]
+    placed = in_order(sources.withColumn("__one", F.lit(1)), name, ["__one"])
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("__before___one") % len(weights) + 1).cast("int"))
+    weighed = materialize(placed.withColumn("__w", weight).withColumn("__full", F.col("source_size") / weight).drop("__one", "__before___one"))
+    whole = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("s"), F.coalesce(F.sum("__w"), F.lit(0.0)).alias("w")).first()  # two numbers
+    shared = in_order(weighed, [F.col("__full"), *name], ["source_size", "__w"])
+    share = (F.lit(whole["s"]) - most * F.col("__before_source_size")) / (F.lit(whole["w"]) - F.col("__before___w"))
+    free = shared.withColumn("__share", share).where(F.col("__share") <= most * F.col("__full"))
+    level = free.agg(F.min_by("__share", F.struct("__full", F.col("source").isNull().alias("n"), "source"))).first()[0]  # one number
     stop = (most * F.col("source_size")).cast("double")
-    return shared.select("source", "source_size", "docs", F.least(stop, F.coalesce(F.col("__level") * F.col("__w"), stop)).alias("target"))
+    return weighed.select("source", "source_size", "docs", F.least(stop, F.lit(level) * F.col("__w") if level is not None else stop).alias("target"))
 
 
 def prefix_sums(totals: DataFrame) -> DataFrame:
