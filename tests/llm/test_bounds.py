@@ -180,3 +180,15 @@ def test_very_long_and_very_common_urls(spark):
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, listed).collect()}
     assert got == {i: plain_rule(u, RULES) for i, u in enumerate(urls)}
+
+
+@pytest.mark.parametrize("at_once", [2, 50_000])
+def test_targets_of_many_sources(spark, monkeypatch, at_once):
+    """Sources in ranges of a few get the targets that all of them together get."""
+    monkeypatch.setattr(mixing, "SOURCES_AT_ONCE", at_once)
+    rng = np.random.default_rng(6)
+    sizes = {f"s{i}é"[: 2 + i % 3]: int(rng.choice([0, 1, 7, 7, 300, 9000])) for i in range(40)} | {None: 12, "": 5, "𝒳": 7, "￿": 7}
+    rows = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, source_size long, docs long").repartition(3)
+    got = {r["source"]: r["target"] for r in mixing.targets(common.materialize(rows)).collect()}
+    want = plain_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
